@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import bpe, media
+from emberline.llm import bpe, chat, media, quality
 from emberline.llm.common import table
 
 
@@ -30,6 +30,32 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn(quality.labelled(docs, table(spark, sf_dir, "labels")))
+    stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality.judged(docs, rules).select("doc_id", *stats, "base_failed", "kept", "rule")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
+    out = chat.formatted(rows).select("conv_id", "formatted", chat.parsed(F.col("formatted")).alias("turns"), F.array_join(chat.under_mask(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select(
@@ -42,7 +68,28 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_bpe": op8_bpe,
 }
 
-SQL: dict[str, str] = {}
+OP7_SQL = """
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked as (
+  select *, lag(role) over w is distinct from role as opens,
+    regexp_replace(text, '([\\[<])(~*)(/?(?:s>|INST\\]|SEP\\]))', '\\1~\\2\\3', 'g') as escaped
+  from rows window w as (partition by conv_id order by turn, role, text)
+), loss as (
+  select conv_id, coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss from rows group by conv_id
+)
+select r.conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  any_value(length(loss)) as loss_chars, any_value(sha256(loss)) as loss_sha256,
+  cast(sum(length(escaped) + case when opens then 10 + length(role) + 1 + 12 else 5 end) as bigint) as formatted_chars
+from marked r join loss l on r.conv_id is not distinct from l.conv_id group by r.conv_id
+"""
+
+SQL: dict[str, str] = {"op7_chat_formatting": OP7_SQL}
