@@ -66,7 +66,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     starts = F.col("starts")
     own = F.transform("starts", lambda s, i: F.when(i < F.size("starts") - 1, F.least(F.lit(WINDOW), starts[F.least(i + 1, F.size("starts") - 1)] - s)).otherwise(F.lit(WINDOW)))
     e = d.select(*kept, F.coalesce(F.aggregate(own, F.lit(0), lambda x, y: x + y), F.lit(0)).alias("n_repeat_words"))
-    return e.select(F.col("id").alias(id_col), *(F.col(s).cast("long").alias(s) for s in STATS))
+    # stack() keeps the optimizer from moving a filter on these figures below, where it would repeat them for each word
+    return e.select(F.stack(F.lit(1), F.col("id"), *(F.col(s).cast("long") for s in STATS)).alias(id_col, *STATS))
 
 
 def base_failed() -> Column:
@@ -104,7 +105,7 @@ def labelled(stats_of: DataFrame, labels: DataFrame, label_col: str = "quality",
     few = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(limit)
     docs = stats_of.join(F.broadcast(few), stats_of[id_col] == F.col("label_id"))
     rows = statistics(docs.select("label", F.col(id_col), "text").select(F.struct(id_col, "label").alias("key"), "text"), "key").where(~base_failed())
-    got = rows.select("key.label", *(F.expr(e).alias(n) for n, e in FEATURES.items())).orderBy("key").collect()
+    got = rows.select("key", "key.label", *(F.expr(e).alias(n) for n, e in FEATURES.items())).orderBy("key").collect()
     return {n: np.array([r[n] for r in got], float) for n in FEATURES} | {"label": np.array([r["label"] for r in got], int)}
 
 
@@ -148,11 +149,21 @@ def learn(data: dict[str, np.ndarray], bad: int = 0, precision: float = 0.9, lea
             rule = shorter
         if not rule or y[on(rule, left)].sum() < least or score(on(rule, held)) < precision or y[on(rule, left)].mean() < precision:
             break
+        rule = [_middle(c, data[c.feature][left], data[c.feature][on(rule, left) & y]) for c in rule]
         rules.append(tuple(rule))
         left &= ~on(rule, left)
     return rules
 
 
+def _middle(c: Condition, every: np.ndarray, covered: np.ndarray) -> Condition:
+    """c with its threshold in the middle of the gap between the rows that it refuses and the bad ones that the rule covers."""
+    refused = every[every <= c.threshold] if c.above else every[every > c.threshold]
+    if not len(refused) or not len(covered):
+        return c
+    a, b = (refused.max(), covered.min()) if c.above else (refused.min(), covered.max())
+    return Condition(c.feature, c.above, float(a + b) / 2)
+
+
 def verdict(rules: list[tuple[Condition, ...]]) -> Column:
     """The number from 1 of the first rule that holds, else 0, as one CASE WHEN over STATS."""
     if not rules:
