@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import bpe, chat, media, quality
-from emberline.llm.common import table
+from emberline.llm import bpe, chat, media, quality, simhash
+from emberline.llm.common import table, written
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +66,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = written(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    return simhash.clustered(prints).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op5_quality_rules": op5_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_bpe": op8_bpe,
+    "op9_simhash": op9_simhash,
 }
 
 OP7_SQL = """
