@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import bpe, chat, media, packing, quality, simhash
+from emberline.llm import bpe, chat, media, packing, quality, simhash, warc
 from emberline.llm.common import table, written
 
 
@@ -30,6 +30,17 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.stored(table(spark, sf_dir, "pages")))
+    return records.select(
+        F.nullif("id", F.lit("null")).cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = packing.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     rows = packing.pieces(tokens).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -83,6 +94,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
+    "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
