@@ -6,8 +6,8 @@ ARCHIVE_BYTES of records with its own dictionary, so every part is a whole .warc
 written with Spark to any store. read_archives() reads such contents back. Of records with equal payloads of at
 least `least` bytes, that with the smallest id is a response, the others are revisits that refer to it.
 
-The dictionary is built from the records of the part, as raw content: pieces of records picked evenly over
-the whole part, as much as DICTIONARY_BYTES holds.
+The dictionary is trained on all records of the part; where they are too few or too short to train on, it is their
+own first DICTIONARY_BYTES.
 
 Results in special cases: a null html counts as empty and makes an empty payload; a null url becomes "urn:null:" and a null id the
 record id "null", which sorts after all others; rows equal in id and payload make a response and revisits that refer to that
@@ -65,24 +65,19 @@ def record(page_id: str, url: str, payload: bytes, payload_digest: str, refers_t
 
 def archive(records: list[bytes]) -> bytes:
     """A .warc.zst file of these records."""
-    total = sum(map(len, records)) or 1
-    share = min(1.0, DICTIONARY_BYTES / total)
-    # the start of a record is most like that of others, so its piece comes from there; the head's own lines are in it
-    pieces, spent = [], 0
-    step = max(1, len(records) * 512 // DICTIONARY_BYTES) if share < 1 else 1
-    each = max(256, DICTIONARY_BYTES // max(1, len(records[::step])))
-    for r in records[::step]:
-        if spent + min(each, len(r)) > DICTIONARY_BYTES:
-            break
-        pieces.append(r[:each])
-        spent += len(pieces[-1])
-    content = b"".join(reversed(pieces))
-    frame = struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content
-    if not content:
-        return frame
-    compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=True)
-    compressor_of = compressor.compress
-    return frame + b"".join(compressor_of(r) for r in records)
+    dictionary = _dictionary(records)
+    content = dictionary.as_bytes()
+    compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary if content else None, write_checksum=True).compress
+    return struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content + b"".join(compress(r) for r in records)
+
+
+def _dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Trained on all these records; where they are too few or too short for that, the records themselves."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, records, k=512, d=8)
+    except zstandard.ZstdError:
+        content = b"".join(records)[:DICTIONARY_BYTES]
+        return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def records_of(file: bytes) -> Iterator[bytes]:
