@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import bpe, chat, html_text, media, packing, quality, simhash, warc
+from emberline.llm import bpe, chat, html_text, media, packing, quality, simhash, token_count, warc
 from emberline.llm.common import table, written
 
 
@@ -96,6 +96,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_warc": op3_warc,
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
+    "op10_token_counts": op10_token_counts,
 }
 
 OP7_SQL = """
