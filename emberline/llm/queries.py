@@ -11,10 +11,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import bpe, chat, html_text, media, packing, quality, simhash, token_count, warc
+from emberline.llm import bpe, chat, html_text, media, packing, quality, simhash, token_count, toxicity, warc
 from emberline.llm.common import table, written
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.probe(media.store(table(spark, sf_dir, "documents")))
     feature = F.to_json(F.struct("codec", "width", "height", "n_samples", "timescale", "duration", "keyframes"))
@@ -101,6 +107,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_media_columns": op2_media_columns,
     "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
