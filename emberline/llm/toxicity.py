@@ -17,11 +17,12 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -222,3 +223,13 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+
+
+def score_of(model: Model | None) -> Callable[[Column], Column]:
+    """scored()'s score as a function of a text column, for filters that keep all columns."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) if model else 0.0 for t in texts], dtype="float64")
+
+    return lambda text: score(text.cast("string"))
