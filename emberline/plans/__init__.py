@@ -1 +1,6 @@
+"""The query catalogue."""
 
+from emberline.plans import corpus, episodes, functions, training
+
+QUERIES = {k: v for m in (episodes, corpus, training, functions) for k, v in m.CATALOGUE.queries.items()}
+SQL = {k: v for m in (episodes, corpus, training, functions) for k, v in m.CATALOGUE.sql.items()}
