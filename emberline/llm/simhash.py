@@ -287,7 +287,7 @@ def links(classes: DataFrame, radius: int = 3, parts: int = 4, sure: int | None
             cols = [np.concatenate([r[k] for r in rows]) for k in range(4 + len(names))]
             new = np.ones(len(cols[0]), bool)
             new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
-            a, b = forest(np.cumsum(new), np.stack(cols[4:], axis=1), cols[3], radius)
+            a, b = forest(np.cumsum(new), np.stack(cols[4:], axis=1).view(np.uint64), cols[3], radius)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
