@@ -16,7 +16,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int = 0) -> D
     """Rows of a JSON lines file; blank lines are skipped but count towards the limit, which is on physical lines of one file. 0: all."""
     if not limit:
         return spark.read.schema(schema).json(path)
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.slice(F.split("value", "\n"), 1, limit)).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.split("value", "\n"), 1, limit)).alias("n", "line"))
     return lines.where(F.trim("line") != "").select("n", F.from_json("line", schema, {"allowNonNumericNumbers": "true"}).alias("r")).orderBy("n").select("r.*")
 
 
