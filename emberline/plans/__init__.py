@@ -1,6 +1,6 @@
 """The query catalogue."""
 
-from emberline.plans import code, corpus, episodes, functions, training
+from emberline.plans import code, corpus, episodes, functions, records, training
 
-QUERIES = {k: v for m in (episodes, corpus, training, functions) for k, v in m.CATALOGUE.queries.items()} | code.QUERIES
-SQL = {k: v for m in (episodes, corpus, training, functions) for k, v in m.CATALOGUE.sql.items()}
+QUERIES = {k: v for m in (episodes, corpus, training, functions, records) for k, v in m.CATALOGUE.queries.items()} | code.QUERIES
+SQL = {k: v for m in (episodes, corpus, training, functions, records) for k, v in m.CATALOGUE.sql.items()}

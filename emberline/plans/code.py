@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators import codeops, sandbox
+from emberline.operators import codeops, mutate, sandbox
 from emberline.sources.files import standard_library
 
 INPUTS = "[[[3, 1, 2]], [[5]], [[2, 2, 9, 4, 4]]]"
@@ -34,4 +34,32 @@ def sandbox_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sandbox.evaluated(jobs).select("name", "family", "status", "n_pass", "n_total", "ratio")
 
 
-QUERIES = {"q_mine_stdlib": mine_stdlib, "q_mining_funnel": mining_funnel, "q_applicable": applicable, "q_propose": propose, "q_sandbox_eval": sandbox_eval}
+def bfs_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = codeops.snippets(spark).where("name <> 'shared'").repartition(4, "name")
+    expand = F.udf(lambda s, n: list(mutate.expanded(s, n, INPUTS)), "array<struct<source:string,families:array<string>,depth:int>>")
+    return base.select("name", F.inline(expand("source", "name")))
+
+
+def renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = F.udf(lambda s, n: mutate.renamed(s, mutate.rename_map([s], n, n)))
+    return codeops.snippets(spark).select("name", new("source", "name").alias("renamed"))
+
+
+def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bug, broken = F.udf(lambda s, n: mutate.with_bug(s, n)), F.udf(lambda s, n: mutate.with_syntax_error(s, n))
+    return codeops.snippets(spark).select("name", bug("source", "name").alias("bug"), broken("source", "name").alias("broken"))
+
+
+def spec_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guess = F.udf(lambda s: [[(k, float(v)) for k, v in x] for x in mutate.guessed_specs(s)], "array<array<struct<spec:string,score:double>>>")
+    mined = codeops.mined(standard_library(spark))
+    return mined.select("key", "func_name", F.posexplode(guess("source")).alias("parameter", "guesses"))
+
+
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slow = codeops.slower(codeops.snippets(spark).where("name <> 'shared'"), ("name", "source")).groupBy("name", "source").agg(F.min("variant").alias("slow"))
+    steps = F.udf(lambda fast, slow, n: [x for e in mutate.edit_lists([fast, slow], n)[:2] for x in mutate.replayed(slow, n, INPUTS, e)], "array<struct<step:int,status:string,ratio:double,improved:boolean>>")
+    return slow.repartition(4, "name").select("name", F.inline(steps("source", "slow", "name")))
+
+
+QUERIES = {"q_bfs_expand": bfs_expand, "q_renames": renames, "q_mutations": mutations, "q_spec_guesses": spec_guesses, "q_replay": replay} | {"q_mine_stdlib": mine_stdlib, "q_mining_funnel": mining_funnel, "q_applicable": applicable, "q_propose": propose, "q_sandbox_eval": sandbox_eval}
