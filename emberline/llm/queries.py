@@ -138,4 +138,17 @@ select r.conv_id, count(*) as n_turns,
 from marked r join loss l on r.conv_id is not distinct from l.conv_id group by r.conv_id
 """
 
-SQL: dict[str, str] = {"op7_chat_formatting": OP7_SQL}
+OP3_SQL = """
+with d as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as x from pages),
+b as (
+  select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast((cast('0x' || substr(x, cast(1 + 5 * (i // 4) as bigint), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31 as bigint) + 1, 1)), '') as payload_digest,
+    min(page_id) over (partition by x) as first_id
+  from d
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from b
+"""
+
+SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op7_chat_formatting": OP7_SQL}
