@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.functions.arrays import LIBRARY, column
 from emberline.operators import codeops, mutate, sandbox
 from emberline.sources.files import standard_library
 
@@ -62,4 +63,27 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slow.repartition(4, "name").select("name", F.inline(steps("source", "slow", "name")))
 
 
-QUERIES = {"q_bfs_expand": bfs_expand, "q_renames": renames, "q_mutations": mutations, "q_spec_guesses": spec_guesses, "q_replay": replay} | {"q_mine_stdlib": mine_stdlib, "q_mining_funnel": mining_funnel, "q_applicable": applicable, "q_propose": propose, "q_sandbox_eval": sandbox_eval}
+def array_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every function of the array library over each user's values and event types, in time order, as JSON."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    of = F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.floor("value").cast("long") % 50 - 20).alias("x"), "event_type"))).alias("e")
+    users = events.groupBy("user_id").agg(of)
+    inputs = users.select(
+        "user_id",
+        F.expr("transform(e, v -> v.x)").alias("xs"),
+        F.expr("transform(e, v -> v.x + 1)").alias("ys"),
+        F.expr("transform(e, v -> v.event_type)").alias("ts"),
+        F.expr("array('view', 'error')").alias("us"),
+        F.expr("transform(e, v -> struct(v.x as a, v.event_id % 7 as b))").alias("ps"),
+        F.expr("transform(sequence(0, 2), i -> slice(transform(e, v -> v.x), i * 3 + 1, 3))").alias("rows"),
+        F.lit("view").alias("s"),
+        F.lit("weiv").alias("s2"),
+        F.lit(3).cast("long").alias("k"),
+        F.lit(-5).cast("long").alias("lo"),
+        F.lit(15).cast("long").alias("hi"),
+    )
+    told = F.array(*(F.struct(F.lit(n).alias("function"), F.to_json(F.struct(column(n).alias("value"))).alias("result")) for n in sorted(LIBRARY)))
+    return inputs.select("user_id", F.inline(told))
+
+
+QUERIES = {"q_fn_library": array_library, "q_bfs_expand": bfs_expand, "q_renames": renames, "q_mutations": mutations, "q_spec_guesses": spec_guesses, "q_replay": replay} | {"q_mine_stdlib": mine_stdlib, "q_mining_funnel": mining_funnel, "q_applicable": applicable, "q_propose": propose, "q_sandbox_eval": sandbox_eval}
