@@ -94,7 +94,8 @@ def _is_boiler(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return True
-    names = {x.lower() for x in NAME_PARTS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
+    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    names = {x.lower() for x in NAME_PARTS.findall(named)} | {*re.split(r"[\s_-]+", named.lower())}
     return bool(names & BOILER_NAMES) or (not in_article and bool(names & OUTSIDE_NAMES))
 
 
@@ -103,7 +104,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str, bool]] = []  # container, why it is boilerplate or "", within an article
     parts: list[tuple[str, bool]] = []
-    links, tag_now, inline_boiler = 0, "", ""
+    links, tag_now, inline_boiler, own_boiler = 0, "", "", False
     lower: str | None = None
 
     def flush() -> None:
@@ -113,7 +114,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = " ".join(html_entities.unescape("".join(p for p, a in parts if a)).split())
                 why, article = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-                out.append(Block(text, len(linked), tag_now, bool(why), article))
+                out.append(Block(text, len(linked), tag_now, bool(why) or own_boiler, article))
             parts = []
 
     at, n = 0, len(page)
@@ -150,8 +151,9 @@ def blocks(page: str) -> list[Block]:
                 inline_boiler = tag
             continue
         flush()
-        links, inline_boiler, tag_now = 0, "", "" if closing else tag
+        links, inline_boiler, own_boiler, tag_now = 0, "", False, "" if closing else tag
         if tag not in CONTAINER_TAGS or tag in VOID_TAGS:
+            own_boiler = not closing and bool(m[3]) and _is_boiler(tag, attributes(m[3]), bool(stack and stack[-1][2]))
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):

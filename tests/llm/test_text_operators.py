@@ -137,6 +137,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_html_page():
     assert html_text.main_text(PAGE) == "Head & line\nFirst part.\nSecond part <ok>.\nZ."
     assert html_text.main_text(PAGE[: PAGE.index("Second") + 6]) == "Head & line\nFirst part.\nSecond"
+    assert html_text.main_text('<article><p>In.</p><p class="cookie-notice">Out.</p><div id=sideBar>Out.</div><h2>Still in</h2><p>Here.</p></article>') == "In.\nStill in\nHere."
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
 
 
