@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -40,12 +42,20 @@ CACHE_WORDS = 400_000
 THRESHOLD = 0.3
 
 
+@lru_cache(maxsize=256)
+def _spans(n: int) -> list[slice]:
+    """The whole of n places and each run of SHORTEST to LONGEST of them."""
+    return [slice(0, n), *(slice(i, i + k) for k in range(SHORTEST, LONGEST + 1) for i in range(n - k + 1))]
+
+
 def subwords(word: str) -> list[int]:
-    """The buckets of a lower-cased word: itself and its n-grams, boundaries included."""
+    """The buckets of a lower-cased word: itself and its n-grams, boundaries included, in a fixed order."""
     marked = f"<{word}>"
-    n = len(marked)
-    grams = {marked} | {marked[i : i + k] for k in range(SHORTEST, LONGEST + 1) for i in range(n - k + 1)}
-    return [crc32(g.encode("utf-8")) % BUCKETS for g in sorted(grams)]
+    data = marked.encode("utf-8")
+    if len(data) == len(marked):
+        return [crc32(data[s]) % BUCKETS for s in _spans(len(data))]
+    at = [0, *accumulate([1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in marked])]
+    return [crc32(data[at[s.start] : at[s.stop]]) % BUCKETS for s in _spans(len(marked))]
 
 
 def words(text: str | None) -> list[str]:
@@ -69,16 +79,18 @@ class Model:
 
     def __post_init__(self) -> None:
         self.cache: dict[str, float] = {}
+        self.table: list[float] = self.weights.tolist()
 
     def __getstate__(self) -> tuple:
         return self.weights, self.base, self.slope, self.shift
 
     def __setstate__(self, state: tuple) -> None:
         self.weights, self.base, self.slope, self.shift = state
-        self.cache = {}
+        self.__post_init__()
 
     def word(self, word: str) -> float:
-        w = float(self.weights[subwords(word)].mean())
+        table, own = self.table, subwords(word)
+        w = sum([table[b] for b in own]) / len(own)
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
         if len(word) < 64:
@@ -90,11 +102,9 @@ class Model:
         found = words(text)
         if not found:
             return self.base
-        cache = self.cache
-        values = []
-        for w in found:
-            v = cache.get(w)
-            values.append(self.word(w) if v is None else v)
+        values = [*map(self.cache.get, found)]
+        if None in values:
+            values = [self.word(w) if v is None else v for w, v in zip(found, values, strict=True)]
         n = len(values)
         if n <= WINDOW:
             return self.base + sum(values) / n
@@ -112,6 +122,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _sums(groups: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each group."""
+    return np.stack([np.bincount(groups, rows[:, k], n) for k in range(rows.shape[1])], axis=1)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """The jointly trained embeddings and softmax, as weights of buckets."""
     rng = np.random.default_rng(seed)
@@ -160,13 +175,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             d[np.arange(len(d)), toxic.astype(int)] -= 1
             d = (d * weight[:, None] / len(batch) * 16).astype(np.float32)
             dW, db, dX = d.T @ X, d.sum(axis=0), d @ W
-            dV = np.zeros_like(V)
-            np.add.at(dV, place, np.repeat(dX / lengths[:, None], lengths, axis=0).astype(np.float32))
-            touched, where = np.unique(subs, return_inverse=True)
-            dE = np.zeros((len(touched), DIMENSIONS), np.float32)
-            np.add.at(dE, where, np.repeat(dV / sizes[:, None], sizes, axis=0).astype(np.float32))
-            gE[touched] += dE * dE
-            E[touched] -= RATE * dE / np.sqrt(gE[touched])
+            dV = _sums(place, np.repeat(dX / lengths[:, None], lengths, axis=0), len(V))
+            dE = _sums(subs, np.repeat(dV / sizes[:, None], sizes, axis=0), BUCKETS).astype(np.float32)
+            gE += dE * dE
+            E -= RATE * dE / np.sqrt(gE)
             gW += dW * dW
             W -= 0.1 * dW / np.sqrt(gW)
             gb += db * db
