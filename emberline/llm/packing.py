@@ -30,7 +30,7 @@ from emberline.llm.common import small_batches, written
 CAPACITY = 2048
 END = 0
 #: Pieces that are ranked together in one hash chunk, about.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 4_000
 #: Rows of a plan that may be broadcast.
 BROADCAST_ROWS = 200_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
