@@ -245,24 +245,41 @@ def forest(group: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int) -
                 a.append(x)
                 b.append(y)
     for s, e in zip(starts[sizes > 32].tolist(), ends[sizes > 32].tolist(), strict=True):
-        rest, rest_nodes = fps[s:e], nodes[s:e]
+        rest, rest_nodes = np.ascontiguousarray(fps[s:e].T), nodes[s:e]
         queue: list[tuple[np.ndarray, int]] = []
-        while len(rest):
+        while len(rest_nodes):
             if not queue:
-                queue.append((rest[0], int(rest_nodes[0])))
-                rest, rest_nodes = rest[1:], rest_nodes[1:]
+                queue.append((rest[:, 0], int(rest_nodes[0])))
+                rest, rest_nodes = rest[:, 1:], rest_nodes[1:]
                 continue
             f, x = queue.pop()
-            hit = np.bitwise_count(rest ^ f).sum(axis=1, dtype=np.int64) <= radius
-            if hit.any():
-                found = rest_nodes[hit].tolist()
+            at = _within(rest, f, radius)
+            if len(at):
+                found = rest_nodes[at].tolist()
                 a += [x] * len(found)
                 b += found
-                queue += zip(rest[hit], found, strict=True)
-                rest, rest_nodes = rest[~hit], rest_nodes[~hit]
+                queue += zip(rest[:, at].T, found, strict=True)
+                stay = np.ones(len(rest_nodes), bool)
+                stay[at] = False
+                rest, rest_nodes = rest[:, stay], rest_nodes[stay]
     return a, b
 
 
+def _within(words: np.ndarray, f: np.ndarray, radius: int) -> np.ndarray:
+    """The places of fingerprints (a row of words for each word) that differ from f in at most radius bits; most fall out by their first words."""
+    first = min(3, len(f))
+    d = np.bitwise_count(words[0] ^ f[0])
+    for k in range(1, first):
+        d = d + np.bitwise_count(words[k] ^ f[k])
+    at = np.flatnonzero(d <= radius)
+    if first < len(f) and len(at):
+        more = d[at].astype(np.int64)
+        for k in range(first, len(f)):
+            more += np.bitwise_count(words[k][at] ^ f[k])
+        at = at[more <= radius]
+    return at
+
+
 def links(classes: DataFrame, radius: int = 3, parts: int = 4, sure: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(a long, b long): links between classes (node long, fp long, fp1 ...) whose components are those of all links."""
     names = [c for c in classes.columns if c != "node"]
@@ -333,7 +350,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component of near_duplicates(): that of the smallest id. Rows with a null id all stay."""
     found = written(near_duplicates(docs, id_col, text_col))
-    kept = docs.join(found.where(F.col(id_col) != F.col("component")).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    # nothing bounds the number of copies, so their ids are shuffled at every size, never broadcast
+    copies = found.where(F.col(id_col) != F.col("component")).select(id_col).distinct().hint("merge")
+    kept = docs.join(copies, id_col, "left_anti").select(docs.columns)
     repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     if repeated.isEmpty():
         return kept
