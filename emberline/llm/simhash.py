@@ -11,8 +11,7 @@ its own, each group of one value is verified on whole fingerprints, and only a s
 GROUP_ROWS are cut into blocks, and each pair of blocks is a group of its own, so none is dropped or collected whole.
 
 `sure` is the radius unless given. With a radius beyond it all links up to `sure` bits are found, and those up to the radius with a
-probability: links() with 8 words, 32 partitions and sure = 31 finds a pair of cosine 0.89 (a Jaccard similarity of 0.8 at equal
-sizes; 77 bits of 512) under some partition in about 92 of 100 cases, one of similarity 0.9 in over 99.
+probability. The pipeline's near copies are joined exactly, by emberline/llm/near.py.
 
 Results in special cases: a null or wordless text has fingerprint zero, linked like any other; repeated rows and rows
 that share an id are one node; rows with a null id get a fingerprint, link nothing and have a null component; an empty
@@ -337,18 +336,10 @@ def clustered(prints: DataFrame, radius: int = 3, parts: int = 4, sure: int | No
     return out.select(id_col, *names, F.when(F.col(id_col).isNotNull(), F.col("component")).alias("component"))
 
 
-#: Of near_duplicates(): 5-word shingles, 8 words, and the bits of 512 in which texts of Jaccard similarity 0.8 differ.
-NEAR_WIDTH, NEAR_WORDS, NEAR_RADIUS, NEAR_SURE = 5, 8, 80, 31
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) of every row: components of texts whose 5-word shingles are similar by 0.8 or more, as fingerprints of 512 bits show."""
-    prints = written(fingerprints(docs, NEAR_WIDTH, NEAR_WORDS, id_col, text_col))
-    return clustered(prints, NEAR_RADIUS, 4, NEAR_SURE, id_col).select(id_col, "component")
-
-
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component of near_duplicates(): that of the smallest id. Rows with a null id all stay."""
+    from emberline.llm.near import near_duplicates  # which takes shingles() from here
+
     found = written(near_duplicates(docs, id_col, text_col))
     # nothing bounds the number of copies, so their ids are shuffled at every size, never broadcast
     copies = found.where(F.col(id_col) != F.col("component")).select(id_col).distinct().hint("merge")

@@ -167,6 +167,50 @@ def test_near_copies_leave_one(spark):
     assert sorted(k for k in kept if k is not None) == [*range(20), 300] and kept.count(None) == 1
 
 
+def jaccard(a, b):
+    a, b = ({*simhash.shingles(t, 5)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_are_those_of_exact_jaccard(spark):
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([4, 12, 60, 150, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            other = list(words)
+            for at in rng.sample(range(len(words)), min(len(words), rng.randrange(1 + len(words) // 30))):
+                other[at] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(other))
+    # texts that only share one line, over and over, and a passage of many texts that are no copies
+    texts += [" ".join(["one line that comes again and again"] * 60 + [f"y{k}{j}" for j in range(25)]) for k in range(3)]
+    passage = " ".join(f"p{j}" for j in range(40))
+    texts += [" ".join(f"q{k}_{j}" for j in range(60)) + " " + passage for k in range(80)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = 0
+    sets = [{*simhash.shingles(t, 5)} for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            s = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            near += 0.8 <= s < 0.9
+            if s >= 0.8:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    assert near > 20
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = [i for i in range(300, 303)]
+    assert all(jaccard(texts[a], texts[b]) < 0.8 for a in lines for b in lines if a < b)
+    kept = {r.doc_id for r in simhash.without_copies(d).collect()}
+    assert kept == {i for i in range(len(texts)) if find(i) == i}
+
+
 def test_pipeline_runs_on_small_tables(spark):
     import corpus_pipeline
 
