@@ -65,6 +65,13 @@ def test_dialects_agree_on_draws(spark, duck):
         assert abs(run(f"select {d.unit(chr(39) + 'abc' + chr(39))} as x") - 0xA9993E364706816 / 16**15) < 1e-15
 
 
+def test_mined_seeds_cover_every_part(spark, tmp_path):
+    rows = [(k, f"part {k}", k) for k in (1, 500, 501, 900_002)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    out = plans.QUERIES["q_mined_seeds"](spark, str(tmp_path)).collect()
+    assert sorted((r.seed_group, r.only_slow) for r in out) == sorted((k, slow) for k, _, size in rows for slow in [False] + [True] * (size % 3))
+
+
 def test_entry(spark):
     import __spark_entry__
 
