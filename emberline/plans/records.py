@@ -6,6 +6,7 @@ from emberline.plans import episodes, training
 from emberline.plans.dialects import Catalogue, Spark
 
 CATALOGUE = Catalogue()
+NEWLINES = "^\n+|\n+$"
 
 
 def ev(name: str, text) -> None:
@@ -30,10 +31,10 @@ CATALOGUE.add("q_first_replies", "conversations", lambda d: f"""with {training.m
 ev("q_episode_struct", lambda d: f"""with {episodes.lists(d)} select episode_id, {d.size("steps")} as n_turns, {d.join(d.map_("steps", "s", "s.kind"), ",")} as actions, {d.size(d.keep("steps", "s", "s.status = 'malformed'"))} as n_malformed from lists""")
 ev("q_chain_key", lambda d: f"""with {records(d)} select distinct seed_name, family, concat(cast(seed_name as varchar(10)), '+', cast(family as varchar(10))) as chain_key, substring(sha1(concat(cast(seed_name as varchar(10)), chr(10), '---', chr(10), cast(family as varchar(10)))), 1, 16) as canonical from records""")
 ev("q_zip_turns", lambda d: f"""with {episodes.lists(d)}, t as (select episode_id, cast(least({d.size("steps")}, 3) as int) as n, steps from lists) select episode_id, n, {d.join(d.map_(d.keep("steps", "s", "s.step <= 3"), "s", "concat(s.kind, ':', s.status)"), "|")} as zipped from t""")
-CATALOGUE.add("q_code_from_obs", "conversations", lambda d: f"""with o as (select conv_id, turn, case turn % 3 when 0 then concat('<CODE>', chr(10), substr(text, 1, 25), chr(10), '</CODE>') when 1 then concat('x<CODE>', substr(text, 1, 9), '</CODE> y') else substr(text, 1, 5) end as obs from {d.t('conversations')}),
-p as (select *, instr(obs, '<CODE>') as a, instr(obs, '</CODE>') as b from o) select conv_id, turn, case when a > 0 and b > a then trim(replace(substr(obs, a + 6, b - a - 6), chr(10), ' ')) else '' end as code from p""")
+CATALOGUE.add("q_code_from_obs", "conversations", lambda d: f"""with o as (select conv_id, turn, case turn % 3 when 0 then concat('<CODE>', chr(10), text, chr(10), '</CODE>') when 1 then concat('x<CODE>', text, '</CODE> y') else text end as obs from {d.t('conversations')}),
+p as (select *, instr(obs, '<CODE>') as a, instr(obs, '</CODE>') as b from o) select conv_id, turn, case when a > 0 and b > a then {d.sub('substr(obs, a + 6, b - a - 6)', NEWLINES, '')} else '' end as code from p""")
 CATALOGUE.add("q_render_no_feedback", "conversations", lambda d: f"""select conv_id, turn, case when turn % 2 = 0 then concat('step=', cast(turn as varchar(9))) else concat('best=', cast(length(text) as varchar(9)), ' step=', cast(turn as varchar(9))) end as obs from {d.t('conversations')} where role = 'user'""")
-CATALOGUE.add("q_completion_prompt", "conversations", lambda d: f"""with shots as (select {d.join(d.array("substr(text, 1, 30)", "turn"), "||")} as shot from {d.t('conversations')} where conv_id = 0 and turn < 2) select conv_id, concat(shot, '||', substr(text, 1, 20)) as prompt from {d.t('conversations')} cross join shots where turn = 0 and conv_id > 0""")
+CATALOGUE.add("q_completion_prompt", "conversations", lambda d: f"""with shots as (select {d.join(d.array("text", "turn"), "||")} as shot from {d.t('conversations')} where conv_id = 0 and turn < 2) select conv_id, concat(shot, '||', text) as prompt from {d.t('conversations')} cross join shots where turn = 0 and conv_id > 0""")
 CATALOGUE.add("q_prompt_tail", "documents", lambda d: f"""select doc_id, substr(text, greatest(length(text) - 239, 1)) as tail, length(text) > 240 as cut from {d.t('documents')}""")
 CATALOGUE.add("q_short_repr", "documents", lambda d: f"""select doc_id, case when length(text) > 80 then concat(substr(text, 1, 77), '...') else text end as shown from {d.t('documents')}""")
 CATALOGUE.add("q_make_driver", "part", lambda d: f"""select p_brand, concat('def run(k):', chr(10), '    return [', {d.join(d.array("concat('f', cast(p_partkey as varchar(10)))", "p_partkey"), ", ")}, '][k]') as driver from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) as r from {d.t('part')}) x where r <= 4 group by p_brand""")

@@ -30,10 +30,14 @@ CATALOGUE.add("q_oversample", "documents", lambda d: f"""with pool as (select do
 jobs as (select job from {d.series(500, "job")}) select job, doc_id, {d.unit("concat('rename|', cast(job as varchar(10)))")} < 0.5 as renamed from jobs join pool on pos = job % size""")
 
 
+#: White space before and after a code.
+HEAD, TAIL = "^[ \t\r\n]+", "[ \t\r\n]+$"
+
+
 def marked(d: Spark) -> str:
     """Conversation texts dressed as protocol replies of every kind."""
-    return f"""replies as (select conv_id, turn, case (conv_id + turn) % 5 when 0 then concat('<EDIT>', chr(10), substr(text, 1, 40), chr(10), '</EDIT>') when 1 then concat(substr(text, 1, 10), '<STOP>') when 2 then concat('<EDIT>', substr(text, 1, 30))
-  when 3 then concat('<STOP> <EDIT>', substr(text, 1, 10), '</EDIT>') else substr(text, 1, 20) end as reply from {d.t('conversations')})"""
+    return f"""replies as (select conv_id, turn, case (conv_id + turn) % 5 when 0 then concat('<EDIT>', chr(10), text, chr(10), '</EDIT>') when 1 then concat(text, '<STOP>') when 2 then concat('<EDIT>', text)
+  when 3 then concat('<STOP> <EDIT>', text, '</EDIT>') else text end as reply from {d.t('conversations')})"""
 
 
 def find(d: Spark, text: str, what: str) -> str:
@@ -46,14 +50,14 @@ def action(d: Spark) -> str:
     return f"""parts as (select *, {find(d, 'reply', '<STOP>')} as s, {find(d, 'reply', '<EDIT>')} as e, {body} as body from replies),
 bodies as (select *, case when {find(d, 'body', '</EDIT>')} > 0 then substr(body, 1, {find(d, 'body', '</EDIT>')} - 1) else body end as code from parts),
 actions as (select conv_id, turn, reply, case when s > 0 and (e = 0 or s < e) then 'stop' when e > 0 and length(trim(replace(code, chr(10), ' '))) > 0 then 'edit' else 'malformed' end as kind,
-  case when e > 0 and not (s > 0 and s < e) and length(trim(replace(code, chr(10), ' '))) > 0 then trim(replace(code, chr(10), ' ')) end as code from bodies)"""
+  case when e > 0 and not (s > 0 and s < e) and length(trim(replace(code, chr(10), ' '))) > 0 then {d.sub('code', HEAD + '|' + TAIL, '')} end as code from bodies)"""
 
 
 CATALOGUE.add("q_parse_action", "conversations", lambda d: f"with {marked(d)}, {action(d)} select conv_id, turn, kind, code from actions")
 CATALOGUE.add("q_format_action", "conversations", lambda d: f"with {marked(d)}, {action(d)} select conv_id, turn, case when kind = 'stop' then '<STOP>' else concat('<EDIT>', chr(10), code, chr(10), '</EDIT>') end as text from actions where kind <> 'malformed'")
 CATALOGUE.add("q_reply_histogram", "conversations", lambda d: f"with {marked(d)}, {action(d)} select kind, cast(count(*) as bigint) as n, round(cast(count(*) as double) / (select count(*) from actions), 6) as share from actions group by kind")
-CATALOGUE.add("q_format_observation", "conversations", lambda d: f"""select conv_id, turn, concat('<CODE>', chr(10), rtrim(substr(text, 1, 40)), chr(10), '</CODE>', chr(10), '<STATE>', chr(10), 'step=', cast(turn as varchar(10)), chr(10), 'remaining=', cast(6 - turn as varchar(10)), chr(10), '</STATE>', chr(10)) as obs from {d.t('conversations')} where role = 'user'""")
-CATALOGUE.add("q_add_hint", "conversations", lambda d: f"""with o as (select conv_id, turn, concat('<STATE>', substr(text, 1, 5), case when turn % 2 = 0 then '</STATE> tail' else '' end) as obs from {d.t('conversations')}),
+CATALOGUE.add("q_format_observation", "conversations", lambda d: f"""select conv_id, turn, concat('<CODE>', chr(10), {d.sub('text', TAIL, '')}, chr(10), '</CODE>', chr(10), '<STATE>', chr(10), 'step=', cast(turn as varchar(10)), chr(10), 'remaining=', cast(6 - turn as varchar(10)), chr(10), '</STATE>', chr(10)) as obs from {d.t('conversations')} where role = 'user'""")
+CATALOGUE.add("q_add_hint", "conversations", lambda d: f"""with o as (select conv_id, turn, concat('<STATE>', text, case when turn % 2 = 0 then '</STATE> tail' else '' end) as obs from {d.t('conversations')}),
 p as (select *, case when instr(obs, '</STATE>') > 0 then length(obs) - instr(reverse(obs), reverse('</STATE>')) - 6 else 0 end as cut_at from o)
 select conv_id, turn, case when cut_at > 0 then concat(substr(obs, 1, cut_at - 1), 'hint=go', chr(10), substr(obs, cut_at)) else concat(obs, chr(10), 'hint=go') end as hinted from p""")
 CATALOGUE.add("q_profile_shares", "lineitem", lambda d: f"""with g as (select l_orderkey, l_linenumber, l_extendedprice as ns from {d.t('lineitem')})

@@ -72,6 +72,21 @@ def test_mined_seeds_cover_every_part(spark, tmp_path):
     assert sorted((r.seed_group, r.only_slow) for r in out) == sorted((k, slow) for k, _, size in rows for slow in [False] + [True] * (size % 3))
 
 
+def test_protocol_texts_stay_whole(spark, tmp_path):
+    code = "def f():\n" + "\n".join(f"    line_{k} = {k}" for k in range(40))
+    spark.createDataFrame([(c, t, "user", code) for c in range(5) for t in range(3)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    edits = [r.code for r in run("q_parse_action") if r.kind == "edit"]
+    assert edits and all(x == code for x in edits)
+    assert all(r.text in ("<STOP>", f"<EDIT>\n{code}\n</EDIT>") for r in run("q_format_action"))
+    assert all(f"<CODE>\n{code}\n</CODE>" in r.obs for r in run("q_format_observation"))
+    assert all(code in r.hinted for r in run("q_add_hint"))
+    assert {r.code for r in run("q_code_from_obs")} == {code, ""}
+    assert {r.prompt for r in run("q_completion_prompt")} == {"||".join([code] * 3)}
+    assert all(code in r.reply for r in run("q_first_replies"))
+    assert {r.kind: r.n for r in run("q_reply_histogram")} == {"edit": 6, "stop": 6, "malformed": 3}
+
+
 def test_entry(spark):
     import __spark_entry__
 
