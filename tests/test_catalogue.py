@@ -87,6 +87,12 @@ def test_protocol_texts_stay_whole(spark, tmp_path):
     assert {r.kind: r.n for r in run("q_reply_histogram")} == {"edit": 6, "stop": 6, "malformed": 3}
 
 
+def test_rare_words_are_counted(spark, tmp_path):
+    spark.createDataFrame([(1, "a b b"), (2, "b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = plans.QUERIES["q_fn_word_frequencies"](spark, str(tmp_path)).collect()
+    assert sorted((r.word, r.n, r.documents) for r in out) == [("a", 1, 1), ("b", 3, 2), ("c", 1, 1)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
