@@ -19,7 +19,7 @@ def records(d: Spark) -> str:
 
 # sources and sinks
 CATALOGUE.add("q_corpus_union", "documents benchmark conversations", lambda d: f"""with u as (select 1 as part, doc_id as id, text from {d.t('documents')} union all select 2, item_id, text from {d.t('benchmark')} union all select 3, conv_id, text from {d.t('conversations')} where turn = 0),
-r as (select part, id, text, row_number() over (partition by part order by id) as r from u) select part, id, length(text) as n from r where part > 1 or r <= 500""")
+r as (select part, id, text, row_number() over (partition by part order by id) as r from u) select part, id, length(text) as n from r where part > 1 or r <= 20000""")
 ev("q_grouping_scan", lambda d: f"""with {records(d)} select arm, task_id, cast(count(*) as bigint) as n, round(sum(-ln(greatest(best_ratio, 1e-9))), 6) as log_sum, min(seed_name) as cluster from records group by arm, task_id""")
 CATALOGUE.add("q_mined_seeds", "part", lambda d: f"""with base as (select p_partkey, p_name, p_size % 3 as n_natural from {d.t('part')}), n as (select i from {d.series(3, "i")}),
 u as (select p_partkey as seed_group, p_name as seed_name, false as only_slow from base union all select p_partkey, concat(p_name, '_nat', cast(i as varchar(5))), true from base join n on i < n_natural) select * from u""")
