@@ -1,36 +1,55 @@
-"""Texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more: an exact join, by prefixes.
+"""Near copies by SimHash: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-All shingles have one order: those common in a sample of the texts last, the others by hash. Two sets of similarity 0.8 or more share
-a shingle among the first n - ceil(0.8 n) + 1 of each, whatever the order is; the sample only keeps groups small. The first shared
-shingle's places, the sizes and the bits of parity maps each bound the similarity from above, so they drop pairs without loss, and
-the rest is compared set by set.
+Fingerprints of WORDS words of 64 bits, over the distinct shingles, propose: fingerprints that agree under a probe of the generalised
+pigeonhole (emberline/llm/simhash.py) and differ in at most RADIUS bits of the CARRIED words are candidates. Bits of two sets of similarity s
+differ with probability acos(2s / (1 + s)) / pi; the probes are taken so that a pair of exactly 0.8 is missed with a probability of MISS,
+and one above it with a smaller one. Whole shingle sets decide: within each component of candidates every pair is compared by its exact Jaccard
+similarity, in blocks of bounded size, and only a spanning forest of the links found is emitted. So no row stands for a pair of copies, a pair
+below 0.8 is never linked, and a pair above it is lost only where neither it nor any chain of candidates joins its texts.
 
-Equal sets are one class from the start. Pairs are taken in two turns: first each class with the one before it and the first one of
-every group that shares a shingle, then all pairs that the links of the first turn leave in different components. So a large
-group of near copies costs no square of its size, and the components are those of all links.
+Texts of at most five shingles are too short for the bits' law: of a text of five and one that lacks one of its shingles (0.8) the bits differ
+more often, and about a third of such pairs is missed.
+
+Results in special cases: null texts and texts without words are copies of each other; equal sets are one class from the start; rows that
+share an id are told apart by their texts; a null id has a null component; an empty table gives an empty one; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import small_batches, written
 from emberline.llm.components import components
-from emberline.llm.simhash import SEED, shingles
-
-WIDTH = 5
-#: Texts in the sample that tells common shingles, and the number of those that are told apart.
-SAMPLE, COMMON = 20_000, 50_000
+from emberline.llm.simhash import SEED, bits_of, likely_probes, links, mixed, shingles, word_columns
+
+WIDTH, WORDS = 5, 16
+SIMILARITY, MISS = 0.8, 0.01
+#: Words of a fingerprint that candidates are compared by, and the bits of them that may differ: 3 standard deviations above what is expected at SIMILARITY.
+CARRIED = 4
+#: Shingles of a block of texts that are compared in one task.
+BLOCK_SHINGLES = 1 << 20
 #: Bits of the map that tells which texts' sets are built for comparison: of one size however many texts there are.
 MARKS = 1 << 23
 
 
+def differing_rate(similarity: float) -> float:
+    """The share of bits that differ between fingerprints of sets of this Jaccard similarity and equal sizes."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius(similarity: float, words: int) -> int:
+    rate = differing_rate(similarity)
+    return math.floor(64 * words * rate + 3 * math.sqrt(64 * words * rate * (1 - rate)))
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted hashes of the distinct shingles."""
     return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, WIDTH)], dtype=np.uint64))
@@ -42,69 +61,18 @@ def class_of(found: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard similarity of two sorted sets is 0.8 or more."""
-    both = len(a) + len(b) - len(np.union1d(a, b))
-    return 9 * both >= 4 * (len(a) + len(b))
-
-
-def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles of a set; common is sorted, rank has the place of each of its shingles."""
-    n = len(found)
-    if not n:
-        return found
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        last = common[at] == found
-        found = np.concatenate([found[~last], found[last][np.argsort(rank[at[last]], kind="stable")]])
-    return found[: n - (4 * n + 4) // 5 + 1]
-
-
-def parity_map(found: np.ndarray) -> bytes:
-    """A power of two of bits, 4 for each shingle at least: two sets have as many differing shingles at least as their maps have differing bits."""
-    k = max(9, (4 * len(found) - 1).bit_length())
-    bits = np.bincount((found & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
-
-
-def differing(a: bytes, b: bytes) -> int:
-    """Differing bits of two parity maps; the longer one is folded, which makes it the map of fewer bits."""
-    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
-
-
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, the place of each) of the shingles that most texts of a sample share: COMMON at most."""
-    n = texts.count()
-    taken = texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1))) + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["s"])
-
-    counts = taken.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n >= 4")
-    found = [r["s"] for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect()]
-    common = np.array(found, dtype=np.int64).view(np.uint64)
-    order = np.argsort(common)
-    # the most common come last
-    return common[order], len(common) - order
-
-
 def signatures(texts: DataFrame) -> DataFrame:
-    """(id, c: class, n, map, prefix) of every row of (id, text)."""
-    common, rank = common_shingles(texts)
+    """(id, c: class, n: shingles, fp, fp1 ...) of every row of (id, text)."""
+    names = word_columns(WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            firsts = pa.array([prefix(s, common, rank).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            told = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity_map(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *told, firsts], names=["id", "c", "n", "map", "prefix"])
+            fps = np.array([[bits_of(s if not k else mixed(s, k)) for k in range(WORDS)] for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            told = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *told, *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WORDS))], names=["id", "c", "n", *names])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, c long, n int, map binary, prefix array<long>")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, c long, n int, " + ", ".join(f"{x} long" for x in names))
 
 
 def marked_ids(ids: DataFrame) -> np.ndarray:
@@ -117,122 +85,125 @@ def marked_ids(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar, by their whole sets."""
-    of = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n, x, y = (c.to_pylist() for c in batch.columns)
-            good = [k for k in range(len(a)) if differing(x[k], y[k]) <= n[k] - 2 * -(-4 * n[k] // 9)]
-            yield pa.RecordBatch.from_arrays([pa.array([v[k] for k in good], pa.int64()) for v in (a, b)], names=["a", "b"])
-
-    near = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
-    near = written(near.select("a", "b", F.expr("na + nb").alias("n"), "ma", "mb").mapInArrow(bounded, "a long, b long"))
-    used = near.select(F.col("a").alias("c")).union(near.select("b")).distinct()
-    marks = marked_ids(classes.join(used, "c", "left_semi").select("id"))
+def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, c, s binary: sorted hashes of the distinct shingles) of the texts of these ids, and of some more that share their marks."""
+    marks = marked_ids(ids)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(0).to_numpy()
             taken = np.flatnonzero(marks[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             if len(taken):
-                found = [shingle_set(t) for t in batch.column(1).take(pa.array(taken)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["c", "s"])
-
-    whole = written(texts.select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("at"), "text").mapInArrow(sets, "c long, s binary"))
+                found = [shingle_set(t) for t in batch.column(2).take(pa.array(taken)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(taken)), pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "c", "s"])
+
+    return texts.select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("at"), "id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, c long, s binary")
+
+
+class Inverted:
+    """Which of some sets hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.first = np.unique(flat[order], return_index=True)
+        self.first = np.append(self.first, len(flat))
+        self.owner, self.n = owner[order], len(sets)
+
+    def shared(self, one: np.ndarray) -> np.ndarray:
+        """How many shingles of one each set has."""
+        at = np.searchsorted(self.keys, one)
+        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == one)]
+        a, n = self.first[at], self.first[at + 1] - self.first[at]
+        places = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.owner[places], minlength=self.n)
+
+
+def similar(sets: list[np.ndarray], nodes: list[int]) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of a Jaccard similarity of SIMILARITY or more; sets are sorted and without repeats."""
+    share = SIMILARITY / (1 + SIMILARITY)  # both / (|a| + |b|) of such a pair
+    sizes = np.array([len(s) for s in sets])
+    rest, index, held = np.arange(len(sets)), None, np.zeros(0, int)
+    queue: list[int] = []
+    a: list[int] = []
+    b: list[int] = []
+    while len(rest):
+        if not queue:
+            queue.append(int(rest[0]))
+            rest = rest[1:]
+            continue
+        x = queue.pop()
+        if index is None or 2 * len(rest) < len(held):
+            held, index = rest, Inverted([sets[k] for k in rest])
+        both = index.shared(sets[x])
+        good = held[both >= np.ceil((sizes[held] + sizes[x]) * share - 1e-6)]
+        good = good[(sizes[good] + sizes[x] > 0) & np.isin(good, rest, assume_unique=True)]
+        if len(good):
+            a += [nodes[x]] * len(good)
+            b += [nodes[k] for k in good.tolist()]
+            queue += good.tolist()
+            rest = rest[~np.isin(rest, good, assume_unique=True)]
+    return a, b
+
+
+def verified(members: DataFrame, sets: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b): a spanning forest of the similar pairs of each group; members is (node, id, comp, n), sets (id, c, s)."""
+    blocks = members.groupBy("comp").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = F.transform(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1), lambda c: F.least(own, c) * F.col("blocks") + F.greatest(own, c))
+    rows = members.join(blocks, "comp").select("node", "id", "comp", dealt.alias("pairs")).join(sets.withColumnRenamed("c", "node"), ["id", "node"]).select("comp", F.explode("pairs").alias("pair"), "node", "s")
+    rows = rows.repartition("comp", "pair").sortWithinPartitions("comp", "pair", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            good = [k for k in range(len(a)) if similar(np.frombuffer(x[k], np.uint64), np.frombuffer(y[k], np.uint64))]
-            yield pa.RecordBatch.from_arrays([pa.array([v[k] for k in good], pa.int64()) for v in (a, b)], names=["a", "b"])
-
-    both = near.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def crossing(key: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one key (sorted) that lie in different components and may be similar by size and place."""
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
-
-    def good(i, j):
-        return (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j]))
-
-    cuts = np.flatnonzero(np.diff(key)) + 1
-    starts, ends = np.array([0, *cuts]), np.array([*cuts, len(key)])
-    sizes = ends - starts
-    small = np.repeat(sizes <= 32, sizes)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for d in range(1, int(sizes[sizes <= 32].max(initial=1))):
-        at = np.flatnonzero(small[:-d] & (key[:-d] == key[d:]))
-        at = at[good(at, at + d)]
-        a.append(c[at])
-        b.append(c[at + d])
-    for s, e in zip(starts[sizes > 32].tolist(), ends[sizes > 32].tolist(), strict=True):
-        # every crossing pair has a row outside the largest component
-        values, counts = np.unique(comp[s:e], return_counts=True)
-        rows = np.arange(s, e)
-        for i in rows[comp[s:e] != values[counts.argmax()]].tolist():
-            at = rows[good(i, rows)]
-            a.append(np.full(len(at), c[i]))
-            b.append(c[at])
-    x, y = np.concatenate(a), np.concatenate(b)
-    return np.minimum(x, y), np.maximum(x, y)
-
-
-def crossing_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): crossing() of rows (key, n, pos, comp, c), over all keys."""
-    dealt = rows.repartition("key").sortWithinPartitions("key").select("key", "n", "pos", "comp", "c")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[np.ndarray]] = []
+        group, found, nodes = None, [], []
 
         def out() -> pa.RecordBatch:
-            x, y = crossing(*(np.concatenate([r[k] for r in kept]) for k in range(5)))
+            x, y = similar(found, nodes)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [v.to_numpy() for v in batch.columns]
-            # the last key may go on in the next batch
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if kept and (cut or kept[-1][0][-1] != cols[0][0]):
-                kept.append([v[:cut] for v in cols])
-                yield out()
-                kept = []
-            elif cut:
-                kept = [[v[:cut] for v in cols]]
-                yield out()
-                kept = []
-            kept.append([v[cut:].copy() for v in cols])
-        if kept:
+            for comp, pair, node, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (comp, pair) != group:
+                    if len(found) > 1:
+                        yield out()
+                    group, found, nodes = (comp, pair), [], []
+                if not nodes or nodes[-1] != node:
+                    found.append(np.frombuffer(s, np.uint64))
+                    nodes.append(node)
+        if len(found) > 1:
             yield out()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of every row: components of texts that are similar by 0.8 or more, by the smallest id; a null id has none."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     signed = written(signatures(texts))
+    names = word_columns(WORDS)
     # the rows of a class have all but the id in common
-    classes = written(signed.groupBy("c").agg(F.min("id").alias("id"), *(F.first(x).alias(x) for x in ("n", "map", "prefix"))))
-    keyed = classes.select("c", "n", F.posexplode("prefix").alias("pos", "key"))
-    by = Window.partitionBy("key").orderBy("n", "c")
-    shared = keyed.select("key", "n", "pos", "c", F.lag("c").over(by).alias("before"), F.lead("c").over(by).alias("after"), F.first("c").over(by).alias("first"))
-    shared = written(shared.where("before is not null or after is not null").drop("after"))
-    near = shared.where("before is not null").select("c", F.explode(F.array("before", "first")).alias("d"))
-    links = written(verified(near.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")), classes, texts))
-    found = written(components(links))
-    placed = shared.join(found.withColumnRenamed("node", "c"), "c", "left").select("key", "n", "pos", F.coalesce("component", "c").alias("comp"), "c")
-    more = written(verified(crossing_pairs(placed), classes, texts))
-    if not more.isEmpty():
-        found = written(components(links.union(more)))
-    labelled = classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("component", "c").alias("comp"), "id")
-    least = labelled.groupBy("comp").agg(F.min("id").cast("long").alias("component"))
-    of = labelled.select("c", "comp").join(least, "comp").select("c", "component")
+    classes = written(signed.groupBy(F.col("c").alias("node")).agg(F.min("id").alias("id"), *(F.first(x).alias(x) for x in ("n", *names))))
+    prints = classes.select(*names, "node")
+    probes = likely_probes(prints, names, differing_rate(SIMILARITY), MISS)
+    candidates = components(links(prints, radius(SIMILARITY, CARRIED), probes, CARRIED))
+    members = written(candidates.withColumnRenamed("component", "comp").join(classes.select("node", "id", "n"), "node"))
+    found = components(verified(members, sets_of(texts, members.select("id"))))
+    labelled = classes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("comp"))
+    least = labelled.groupBy("comp").agg(F.min("id").alias("component"))
+    of = labelled.join(least, "comp").select(F.col("node").alias("c"), "component")
     nulls = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast("long").alias("component"))
     return signed.select("id", "c").join(of, "c").select(F.col("id").alias(id_col), "component").unionByName(nulls)
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of near_duplicates(): that of the smallest id. Rows with a null id all stay; of rows that share an id one stays."""
+    found = written(near_duplicates(docs, id_col, text_col))
+    # nothing bounds the number of copies, so their ids are shuffled at every size, never broadcast
+    copies = found.where(F.col(id_col) != F.col("component")).select(id_col).distinct().hint("merge")
+    kept = docs.join(copies, id_col, "left_anti").select(docs.columns)
+    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, id_col, "left_anti").unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)

@@ -4,14 +4,15 @@ A fingerprint has a bit set if it is set in over half of the text's shingle hash
 hashes of its own. Fingerprints link if they differ in at most `radius` bits. Equal fingerprints are one class from the start.
 
 To find links between classes the bits of each word are grouped into partitions, correlated bits together; partition i gets a
-threshold t_i >= -1 with sum(t_i + 1) = sure + 1, so two fingerprints that differ in at most `sure` bits differ in at most t_i bits of
-some partition i. Dynamic programming picks the thresholds of the smallest estimated cost: probes, plus candidates
-estimated from the counts of all partition values (their XOR correlation). Every class is probed under the values within t_i of
-its own, each group of one value is verified on whole fingerprints, and only a spanning forest of its links is emitted. Groups above
-GROUP_ROWS are cut into blocks, and each pair of blocks is a group of its own, so none is dropped or collected whole.
+threshold t_i >= -1 with sum(t_i + 1) = radius + 1, so two fingerprints that differ in at most `radius` bits differ in at most t_i
+bits of some partition i. Dynamic programming picks the thresholds of the smallest estimated cost: probes, plus candidates estimated from
+the counts of values (their XOR correlation) at the number of classes there is; the cut into partitions is chosen so, too, and gets wider as
+rows grow. A probe leaves t_i bits of the partition out. Every class is probed under each, each group of one value is verified
+on whole fingerprints, and only a spanning forest of its links is emitted. Groups above GROUP_ROWS are cut into blocks, and each pair of
+blocks is a group of its own, so none is dropped or collected whole.
 
-`sure` is the radius unless given. With a radius beyond it all links up to `sure` bits are found, and those up to the radius with a
-probability. The pipeline's near copies are joined exactly, by emberline/llm/near.py.
+likely_probes() is the same for links that need not all be found by one partition's pigeonhole but with a stated probability: the
+near copies of emberline/llm/near.py, which verifies its candidates by whole shingle sets.
 
 Results in special cases: a null or wordless text has fingerprint zero, linked like any other; repeated rows and rows
 that share an id are one node; rows with a null id get a fingerprint, link nothing and have a null component; an empty
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -39,6 +39,10 @@ SEED = 42
 GROUP_ROWS = 20_000
 #: Cost of emitting a probe, in verified candidate pairs.
 PROBE_COST = 50.0
+#: Bits of the groups whose values are counted; partitions are made of whole groups.
+BLOCK_BITS = 8
+#: Probes that one partition may take.
+MOST_PROBES = 200
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -63,13 +67,23 @@ def fingerprint(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
     out = np.zeros(words, np.uint64)
     for k in range(words):
         own = h if not k else mixed(h, k)
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(own), 4096):
-            ones += np.unpackbits(own[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(ones * 2 > len(found), bitorder="little").view("<u8")[0]
+        out[k] = bits_of(own)
     return out
 
 
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set."""
+    return int(np.packbits(ones_of(hashes) * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits set."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 255):  # sums of so few fit into a byte
+        ones += np.add.reduce(np.unpackbits(hashes[i : i + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return ones
+
+
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The hashes of word k: those of word 0, mixed again."""
     h = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -146,78 +160,155 @@ def mask_of(bits: list[int]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def near_pairs(counts: np.ndarray, most: int) -> list[float]:
-    """Ordered pairs of rows whose values differ in at most t bits, for t = 0 to most; counts has a number for each value."""
-    x = counts.astype(np.float64)
+def distances(rows: DataFrame, groups: list[tuple[str, list[int]]]) -> tuple[list[np.ndarray], int]:
+    """(for each group of at most BLOCK_BITS bits: the share of all ordered pairs of rows that differ in d of its bits, for d = 0, 1, ...; rows).
 
-    def hadamard(v: np.ndarray) -> np.ndarray:
-        h = 1
-        while h < len(v):
-            v = v.reshape(-1, 2, h)
-            v = np.stack([v[:, 0] + v[:, 1], v[:, 0] - v[:, 1]], axis=1).ravel()
-            h *= 2
-        return v
+    From the counts of each group's values, by their XOR correlation. Tasks sum counts before they are shuffled; len(groups) x
+    2 ** BLOCK_BITS sums reach the driver at most.
+    """
+    size = 1 << BLOCK_BITS
+    if any(len(g) > BLOCK_BITS for _, g in groups):
+        raise ValueError(f"a group has more than {BLOCK_BITS} bits")
+    names = list(dict.fromkeys(name for name, _ in groups))
 
-    both = hadamard(hadamard(x) ** 2) / len(x)
-    weight = np.bitwise_count(np.arange(len(x), dtype=np.uint64))
-    return [float(both[weight <= t].sum()) for t in range(most + 1)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(groups), size), np.int64)
+        for batch in batches:
+            fps = [c.to_numpy().view(np.uint64) for c in batch.columns]
+            for i, (name, bits) in enumerate(groups):
+                value = np.zeros(batch.num_rows, np.uint64)
+                for k, b in enumerate(bits):
+                    value |= (fps[names.index(name)] >> np.uint64(b) & np.uint64(1)) << np.uint64(k)
+                total[i] += np.bincount(value.astype(np.int64), minlength=size)
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+    counts = np.zeros(len(groups) * size)
+    for r in rows.select(*names).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["at"]] = r["n"]
+    out, n = [], 0
+    for x, (_, bits) in zip(counts.reshape(len(groups), size), groups, strict=True):
+        n = int(x.sum())
+        both = np.maximum(_hadamard(_hadamard(x[: 1 << len(bits)]) ** 2), 0)
+        weight = np.bitwise_count(np.arange(len(both), dtype=np.uint64))
+        out.append(np.bincount(weight, both, len(bits) + 1) / max(both.sum(), 1e-300))
+    return out, n
+
+
+def _hadamard(v: np.ndarray) -> np.ndarray:
+    h = 1
+    while h < len(v):
+        v = v.reshape(-1, 2, h)
+        v = np.stack([v[:, 0] + v[:, 1], v[:, 0] - v[:, 1]], axis=1).ravel()
+        h *= 2
+    return v
+
+
+def cost(share: np.ndarray, n: float, t: int) -> float:
+    """Estimated cost of a partition probed to threshold t, in verified pairs. share: of pairs by their differing bits there.
+
+    A probe leaves t bits out; a pair that differs in d <= t bits meets under each choice of the t bits that holds those d.
+    """
+    if t < 0:
+        return 0.0
+    width = len(share) - 1
+    if t > width or math.comb(width, t) > MOST_PROBES:
+        return math.inf
+    return n * n * sum(float(share[d]) * math.comb(width - d, t - d) for d in range(t + 1)) + PROBE_COST * n * math.comb(width, t)
+
+
+def thresholds(shares: list[np.ndarray], n: float, radius: int) -> tuple[float, list[int]]:
+    """(estimated cost, t_i >= -1 with sum(t_i + 1) = radius + 1) of the smallest cost, by dynamic programming."""
+    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for share in shares:
+        after: dict[int, tuple[float, list[int]]] = {}
+        for spent, (c, ts) in best.items():
+            for t in range(-1, radius - spent + 1):
+                new = c + cost(share, n, t)
+                if math.isfinite(new) and ((k := spent + t + 1) not in after or new < after[k][0]):
+                    after[k] = (new, [*ts, t])
+        best = after
+    return best.get(radius + 1, (math.inf, []))
 
 
-def thresholds(pairs: list[list[float]], widths: list[int], n: int, radius: int) -> list[int]:
-    """t_i >= -1 with sum(t_i + 1) = radius + 1 of the smallest estimated cost, by dynamic programming."""
-    if radius + 1 > sum(len(p) for p in pairs):
-        raise ValueError("the radius takes more or larger thresholds than the partitions have")
+def likely(shares: list[np.ndarray], n: float, rate: float, miss: float) -> list[int]:
+    """t_i >= -1 of the smallest estimated cost so that two fingerprints whose bits differ with probability `rate`, each by itself, agree to t_i bits in some partition i but for a probability of `miss`; by dynamic programming."""
+    units = 400
+    need = -math.log(miss)
 
-    def cost(i: int, t: int) -> float:
-        return 0.0 if t < 0 else math.inf if t >= len(pairs[i]) else pairs[i][t] + PROBE_COST * n * sum(math.comb(widths[i], d) for d in range(t + 1))
+    def gain(width: int, t: int) -> int:
+        found = sum(math.comb(width, d) * rate**d * (1 - rate) ** (width - d) for d in range(t + 1))
+        return math.floor(-math.log1p(-found) / need * units) if found < 1 else units
 
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for i in range(len(widths)):
+    for share in shares:
         after: dict[int, tuple[float, list[int]]] = {}
-        for spent, (c, ts) in best.items():
-            for t in range(-1, radius - spent + 1):
-                if (k := spent + t + 1) not in after or c + cost(i, t) < after[k][0]:
-                    after[k] = (c + cost(i, t), [*ts, t])
+        for got, (c, ts) in best.items():
+            for t in range(-1, 3):
+                new = c + cost(share, n, t)
+                if math.isfinite(new) and ((k := min(units, got + (gain(len(share) - 1, t) if t >= 0 else 0))) not in after or new < after[k][0]):
+                    after[k] = (new, [*ts, t])
         best = after
-    return best[radius + 1][1]
-
-
-def plan(classes: DataFrame, names: list[str], sure: int, parts: int) -> list[tuple[str, int, list[int]]]:
-    """(word, mask, probes: the numbers that a value is XORed with) of each partition that is probed; parts for each word."""
-    groups = [(name, g) for name, c in zip(names, correlation(classes, names), strict=True) for g in grouped_bits(c, parts)]
-    most = min(sure, 3)
-    values = F.array(*(F.struct(F.lit(i).alias("i"), _packed(name, g).alias("v")) for i, (name, g) in enumerate(groups)))
-    counts = classes.select(F.inline(values)).groupBy("i", "v").agg(F.count("*").alias("n"))
-    widths = [len(g) for _, g in groups]
-
-    def estimated(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # a partition has 2 ** width values at most
-        (i,) = key
-        table = np.zeros(1 << widths[i])
-        table[rows["v"].to_numpy()] = rows["n"].to_numpy()
-        near = near_pairs(table, min(most, widths[i]))
-        return pd.DataFrame({"i": i, "t": range(len(near)), "pairs": near, "rows": float(table.sum())})
-
-    pairs, n = [[math.inf] * (most + 1) for _ in groups], 0
-    for r in counts.groupBy("i").applyInPandas(estimated, "i int, t int, pairs double, rows double").collect():
-        pairs[r["i"]][r["t"]], n = r["pairs"], int(r["rows"])
-    if not n:
-        pairs = [[0.0] * (most + 1) for _ in groups]
-    out = []
-    for t, (name, g) in zip(thresholds(pairs, widths, n, sure), groups, strict=True):
-        if t >= 0:
-            out.append((name, mask_of(g), [mask_of(list(c)) for d in range(t + 1) for c in combinations(g, d)]))
+    if units not in best:
+        raise ValueError("fingerprints of so few words can't reach this probability: take more")
+    return best[units][1]
+
+
+def merged(shares: list[np.ndarray]) -> np.ndarray:
+    """The share of pairs by differing bits of several groups together, as if they were independent."""
+    out = np.ones(1)
+    for s in shares:
+        out = np.convolve(out, s)
     return out
 
 
-def _packed(name: str, bits: list[int]) -> Column:
-    """The given bits of a word, next to each other."""
-    out = F.lit(0).cast("long")
-    for k, b in enumerate(bits):
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(name, b).bitwiseAND(F.lit(1)), k))
+def exact_probes(classes: DataFrame, names: list[str], radius: int) -> list[tuple[str, int]]:
+    """(word, mask) of the probes: fingerprints that differ in at most `radius` bits are equal under some mask.
+
+    The bits of each word fall into groups of BLOCK_BITS correlated bits; every cut of a word's groups into partitions is tried, and that
+    of the smallest estimated cost at this number of rows is taken: few narrow partitions for few rows, wider ones with more probes for
+    many. Of several words, each takes its part of the radius.
+    """
+    groups = [(name, g) for name, c in zip(names, correlation(classes, names), strict=True) for g in grouped_bits(c, 64 // BLOCK_BITS)]
+    shares, n = distances(classes, groups)
+    each = 64 // BLOCK_BITS
+    out = []
+    for w, name in enumerate(names):
+        own = radius // len(names) if w else radius - radius // len(names) * (len(names) - 1)
+        if w and own == radius // len(names):
+            own -= 1  # sum(own + 1) = radius + 1
+        if own < 0:
+            continue
+        best: tuple[float, list[tuple[list[int], int]]] = (math.inf, [])
+        for cuts in range(1 << each - 1):
+            runs, last = [], 0
+            for k in range(1, each + 1):
+                if k == each or cuts >> k - 1 & 1:
+                    runs.append(range(w * each + last, w * each + k))
+                    last = k
+            c, ts = thresholds([merged([shares[i] for i in run]) for run in runs], max(n, 1), own)
+            if c < best[0]:
+                best = (c, [(sorted(b for i in run for b in groups[i][1]), t) for run, t in zip(runs, ts, strict=True)])
+        if not best[1]:
+            raise ValueError("the radius takes more probes than there may be")
+        out += [(name, mask) for bits, t in best[1] for mask in masks(bits, t)]
     return out
 
 
+def likely_probes(classes: DataFrame, names: list[str], rate: float, miss: float) -> list[tuple[str, int]]:
+    """(word, mask) of the probes: fingerprints whose bits differ with probability `rate` are equal under some mask but for a probability of `miss`."""
+    groups = [(name, g) for name, c in zip(names, correlation(classes, names), strict=True) for g in grouped_bits(c, 64 // BLOCK_BITS)]
+    shares, n = distances(classes, groups)
+    pairs = [(name, g + h, merged([s, t])) for (name, g), (_, h), s, t in zip(groups[::2], groups[1::2], shares[::2], shares[1::2], strict=True)]
+    ts = likely([s for _, _, s in pairs], max(n, 1), rate, miss)
+    return [(name, mask) for (name, bits, _), t in zip(pairs, ts, strict=True) for mask in masks(sorted(bits), t)]
+
+
+def masks(bits: list[int], t: int) -> list[int]:
+    """Masks of these bits without t of them, for every choice of the t; none for t < 0."""
+    return [mask_of([b for b in bits if b not in left]) for left in combinations(bits, t)] if t >= 0 else []
+
+
 def forest(group: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """A spanning forest of the links within each group; group numbers are sorted."""
     a: list[int] = []
@@ -279,11 +370,11 @@ def _within(words: np.ndarray, f: np.ndarray, radius: int) -> np.ndarray:
     return at
 
 
-def links(classes: DataFrame, radius: int = 3, parts: int = 4, sure: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(a long, b long): links between classes (node long, fp long, fp1 ...) whose components are those of all links."""
+def links(classes: DataFrame, radius: int, probes: list[tuple[str, int]], carried: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(a long, b long): links between classes (node long, fp long, fp1 ...) that are equal under one of the probes (word, mask) and differ in at most `radius` bits of the first `carried` words; only a spanning forest of each task's links."""
     names = [c for c in classes.columns if c != "node"]
-    probes = plan(classes, names, radius if sure is None else sure, parts)
-    key = F.array(*(F.struct(F.lit(i).alias("part"), F.col(name).bitwiseAND(F.lit(mask).cast("long")).bitwiseXOR(F.lit(x).cast("long")).alias("key")) for i, (name, mask, xs) in enumerate(probes) for x in xs))
+    key = F.array(*(F.struct(F.lit(i).alias("part"), F.col(name).bitwiseAND(F.lit(mask).cast("long")).alias("key")) for i, (name, mask) in enumerate(probes)))
+    names = names[:carried]
     keyed = classes.select(F.inline(key), *names, "node")
     sizes = keyed.groupBy("part", "key").count().where(F.col("count") > group_rows)
     sizes = written(sizes.select("part", "key", F.ceil(F.col("count") / group_rows).cast("int").alias("blocks")))
@@ -326,25 +417,11 @@ def links(classes: DataFrame, radius: int = 3, parts: int = 4, sure: int | None
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def clustered(prints: DataFrame, radius: int = 3, parts: int = 4, sure: int | None = None, id_col: str = "doc_id", group_rows: int = GROUP_ROWS) -> DataFrame:
+def clustered(prints: DataFrame, radius: int = 3, id_col: str = "doc_id", group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, fp, fp1 ..., component) of every row of fingerprints(), which should be a written table as it is read several times."""
     names = [c for c in prints.columns if c != id_col]
     classes = written(prints.where(F.col(id_col).isNotNull()).groupBy(*names).agg(F.min(id_col).cast("long").alias("node")))
-    found = components(links(classes, radius, parts, sure, group_rows))
+    found = components(links(classes, radius, exact_probes(classes, names, radius), group_rows=group_rows))
     labelled = classes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
     out = prints.join(labelled, names, "left")
     return out.select(id_col, *names, F.when(F.col(id_col).isNotNull(), F.col("component")).alias("component"))
-
-
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component of near_duplicates(): that of the smallest id. Rows with a null id all stay."""
-    from emberline.llm.near import near_duplicates  # which takes shingles() from here
-
-    found = written(near_duplicates(docs, id_col, text_col))
-    # nothing bounds the number of copies, so their ids are shuffled at every size, never broadcast
-    copies = found.where(F.col(id_col) != F.col("component")).select(id_col).distinct().hint("merge")
-    kept = docs.join(copies, id_col, "left_anti").select(docs.columns)
-    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, id_col, "left_anti").unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])).select(docs.columns)

@@ -1,7 +1,10 @@
 """Media, WARC, packing, SimHash and the pipeline against brute force."""
 
+import itertools
+import math
 import random
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from emberline.llm import media, packing, simhash, warc
+from emberline.llm import near as near_copies
 from emberline.llm.components import components
 
 CASES = [None, "", "a", "é" * 300, "x" * 576, "y" * 40_000]
@@ -124,17 +128,36 @@ def test_links_lose_nothing(spark, group_rows):
     assert out == brute_components(fps, 3)
 
 
-def test_pigeonhole_thresholds():
+def test_pigeonhole_thresholds(spark):
     rng = np.random.default_rng(0)
     for radius in (3, 7):
-        pairs = [sorted(rng.random(4).tolist()) for _ in range(6)]
-        ts = simhash.thresholds(pairs, [10] * 6, 10, radius)
+        shares = [rng.dirichlet(np.ones(9)) for _ in range(6)]
+        cost, ts = simhash.thresholds(shares, 1e5, radius)
         assert sum(t + 1 for t in ts) == radius + 1
-    counts = rng.integers(0, 5, 16)
-    brute = [sum(counts[a] * counts[b] for a in range(16) for b in range(16) if bin(a ^ b).count("1") <= t) for t in range(3)]
-    assert np.allclose(simhash.near_pairs(counts, 2), brute)
-    bits = sorted(b for g in simhash.grouped_bits(np.abs(rng.normal(size=(64, 64))), 4) for b in g)
-    assert bits == list(range(64))
+        choices = [x for x in itertools.product(range(-1, radius + 1), repeat=6) if sum(t + 1 for t in x) == radius + 1]
+        assert math.isclose(cost, min(sum(simhash.cost(s, 1e5, t) for s, t in zip(shares, x, strict=True)) for x in choices))
+    fps = [rng.integers(0, 1 << 62, dtype=np.int64).item() & 0x0F0F for _ in range(200)]
+    bits = [[0, 1, 2, 9], [3, 8, 10, 11, 12]]
+    shares, n = simhash.distances(spark.createDataFrame([(x,) for x in fps], "fp long"), [("fp", g) for g in bits])
+    assert n == 200
+    for share, group in zip(shares, bits, strict=True):
+        each = Counter(sum((a ^ b) >> k & 1 for k in group) for a in fps for b in fps)
+        assert np.allclose(share, [each[d] / 200**2 for d in range(len(group) + 1)])
+    assert sorted(b for g in simhash.grouped_bits(np.abs(rng.normal(size=(64, 64))), 8) for b in g) == list(range(64))
+
+
+def test_probes_fit_the_rows(spark):
+    shares = [np.array([math.comb(8, d) / 256 for d in range(9)])] * 8
+    two = simhash.merged(shares[:2])
+    assert np.allclose(two, [math.comb(16, d) / 65536 for d in range(17)])
+    few, many = (min((simhash.thresholds([simhash.merged(shares[:k]), simhash.merged(shares[k:])], n, 3)[0], k) for k in range(1, 8))[0] for n in (1e4, 1e9))
+    assert few < many
+    rate = near_copies.differing_rate(0.8)
+    ts = simhash.likely([two] * 64, 1e6, rate, 0.01)
+    missed = math.prod(1 - sum(math.comb(16, d) * rate**d * (1 - rate) ** (16 - d) for d in range(t + 1)) for t in ts)
+    assert missed <= 0.01
+    with pytest.raises(ValueError):
+        simhash.likely([two] * 4, 1e6, rate, 0.01)
 
 
 def test_fingerprint_cases(spark):
@@ -163,7 +186,7 @@ def test_near_copies_leave_one(spark):
         rows.append((100 + k, " ".join(words)))
     rows += [(200, base[7]), (3, base[3]), (None, base[0]), (300, None), (301, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = [r.doc_id for r in simhash.without_copies(d).collect()]
+    kept = [r.doc_id for r in near_copies.without_copies(d).collect()]
     assert sorted(k for k in kept if k is not None) == [*range(20), 300] and kept.count(None) == 1
 
 
@@ -207,10 +230,29 @@ def test_near_copies_are_those_of_exact_jaccard(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lines = [i for i in range(300, 303)]
     assert all(jaccard(texts[a], texts[b]) < 0.8 for a in lines for b in lines if a < b)
-    kept = {r.doc_id for r in simhash.without_copies(d).collect()}
+    kept = {r.doc_id for r in near_copies.without_copies(d).collect()}
     assert kept == {i for i in range(len(texts)) if find(i) == i}
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_recall_at_a_similarity(spark, similarity):
+    """Pairs of exactly this similarity: of n shingles each has n (1 - s) / (1 + s) to itself, at the end."""
+    rng = random.Random(int(similarity * 100))
+    texts = []
+    for k in range(300):
+        n = rng.choice([60, 120, 300])
+        own = math.floor((n - 4) * (1 - similarity) / (1 + similarity) + 1e-9)
+        common = [f"c{k}_{rng.randrange(10**9)}" for _ in range(n - own)]
+        texts += [" ".join(common + [f"{side}{k}_{j}" for j in range(own)]) for side in "ab"]
+    exact = [k for k in range(300) if jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8]
+    near_exact = [jaccard(texts[2 * k], texts[2 * k + 1]) for k in range(300)]
+    assert abs(sum(near_exact) / 300 - similarity) < 0.02 and len(exact) > 80
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r.doc_id: r.component for r in near_copies.near_duplicates(d).collect()}
+    found = [k for k in range(300) if of[2 * k + 1] == 2 * k]
+    assert set(found) <= set(exact) and len(found) >= 0.95 * len(exact)
+
+
 def test_pipeline_runs_on_small_tables(spark):
     import corpus_pipeline
 
