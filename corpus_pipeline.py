@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs; all but the
 last return the columns of documents. The rules and the toxicity model are learned from the labels of the documents that a stage
 gets.
+
+Results in special cases: a null, empty or wordless text fails the base rules of the first stage, so it goes; rows with a null id are
+judged and scored like others, are never copies of others and are packed; of rows that share an id near_dedup keeps one; equal rows
+are copies; ties go to the smallest id; extra columns stay, whatever their names, up to the last stage; empty tables give empty ones;
+without labels of both kinds only the base rules reject.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import packing, quality, simhash, toxicity
+from emberline.llm import near, packing, quality, toxicity
 from emberline.llm.common import small_batches, table, written
 
 
@@ -30,8 +35,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.without_copies(docs)
+    """One document of each group of near copies: SimHash proposes pairs, their whole shingle sets decide."""
+    return near.without_copies(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
