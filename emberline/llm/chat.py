@@ -1,7 +1,7 @@
 """Chat formatting as one relational plan: no Python runs on the rows.
 
-The turns of a conversation are collected as structs and sorted; adjacent turns of one role are merged by an array
-aggregation; a template of control strings marks the merged messages:
+The turns of a conversation are collected as structs and sorted; adjacent turns of one role are merged by array
+functions; a template of control strings marks the merged messages:
 
     <s>[INST] role\\ntext[SEP]text [/INST]</s>
 
@@ -17,7 +17,7 @@ is one output row, so it must fit into a task as its formatted text must.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.common import text_or_empty
@@ -36,50 +36,33 @@ def unescaped(text: Column) -> Column:
 
 
 def merged(turns: Column) -> Column:
-    """array<struct<role, texts>>: adjacent turns of one role become one message."""
-    start = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
-
-    def step(done: Column, turn: Column) -> Column:
-        last = F.element_at(done, -1)
-        new = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        more = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == turn["role"])
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(more))).otherwise(F.concat(done, F.array(new)))
-
-    return F.aggregate(turns, start, step)
+    """array<struct<role, texts>>: the runs of turns (role, text, opens) that begin where opens is true, each as one message; every turn is looked at once."""
+    n = F.size(turns)
+    opens = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(turns, i)["opens"])
+    runs = F.arrays_zip(opens.alias("a"), F.concat(F.slice(opens, F.lit(2), F.size(opens)), F.array(n + 1)).alias("b"))
+    return F.transform(runs, lambda r: F.struct(F.element_at(turns, r["a"])["role"].alias("role"), F.transform(F.slice(turns, r["a"], r["b"] - r["a"]), lambda t: t["text"]).alias("texts")))
 
 
 def formatted(conversations: DataFrame, loss_role: str = "assistant", conv_col: str = "conv_id") -> DataFrame:
     """(conversation, formatted string, loss_spans array<struct<start long, length long>>) of each conversation.
 
-    conversations has (conversation, turn, role, text), a row for each turn.
+    conversations has (conversation, turn, role, text), a row for each turn. Where a turn's text will stand is a running sum
+    over the turns before it, taken in the same pass of the conversation that tells where messages begin.
     """
-    turns = conversations.select(F.col(conv_col).alias("conv"), F.struct(F.col("turn").alias("turn"), text_or_empty("role").alias("role"), text_or_empty("text").alias("text")).alias("t"))
-    every = turns.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    messages = every.select("conv", merged(F.col("turns")).alias("messages"))
-    rendered = F.transform(
-        "messages",
-        lambda m: F.struct(
-            (m["role"] == F.lit(loss_role)).alias("learn"),
-            F.concat(F.lit(OPEN), F.url_encode(m["role"]), F.lit("\n")).alias("head"),
-            F.transform(m["texts"], escaped).alias("texts"),
-        ),
-    )
-    out = messages.select("conv", rendered.alias("parts"))
-    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], F.array_join(p["texts"], SEP), F.lit(CLOSE))), "")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
-
-    def each_text(state: Column, text: Column) -> Column:
-        n = F.length(text).cast("long")
-        return F.struct((state["at"] + n + F.lit(len(SEP))).alias("at"), F.concat(state["spans"], F.array(F.struct(state["at"].alias("start"), n.alias("length")))).alias("spans"))
-
-    def each_part(state: Column, part: Column) -> Column:
-        inside = F.struct((state["at"] + F.length(part["head"])).alias("at"), state["spans"].alias("spans"))
-        skipped = state["at"] + F.length(part["head"]) + F.length(F.array_join(part["texts"], SEP)) + F.lit(len(CLOSE))
-        return F.struct(skipped.cast("long").alias("at"), F.when(part["learn"], F.aggregate(part["texts"], inside, each_text)["spans"]).otherwise(state["spans"]).alias("spans"))
-
-    spans = F.aggregate("parts", zero, each_part)["spans"]
-    return out.select(F.col("conv").alias(conv_col), whole.alias("formatted"), spans.alias("loss_spans"))
+    rows = conversations.select(F.col(conv_col).alias("conv"), "turn", text_or_empty("role").alias("role"), text_or_empty("text").alias("raw"))
+    rows = rows.select("conv", "turn", "role", "raw", escaped(F.col("raw")).alias("text"))
+    by = Window.partitionBy("conv").orderBy("turn", "role", "raw")
+    told = rows.select("conv", "role", "text", F.row_number().over(by).alias("at"), (~F.lag("role").over(by).eqNullSafe(F.col("role"))).alias("opens"))
+    head = F.length(F.url_encode("role")) + len(OPEN) + 1
+    before = F.when(F.col("at") == 1, head).when(F.col("opens"), head + len(CLOSE)).otherwise(len(SEP))
+    up_to = Window.partitionBy("conv").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    length = F.length("text").cast("long")
+    placed = told.withColumn("start", F.sum(before + length).over(up_to) - length)
+    every = placed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text", "opens", "start"))).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == F.lit(loss_role)), lambda t: F.struct(t["start"].alias("start"), F.length(t["text"]).cast("long").alias("length")))
+    out = every.select("conv", merged(F.col("turns")).alias("messages"), spans.alias("loss_spans"))
+    whole = F.array_join(F.transform("messages", lambda m: F.concat(F.lit(OPEN), F.url_encode(m["role"]), F.lit("\n"), F.array_join(m["texts"], SEP), F.lit(CLOSE))), "")
+    return out.select(F.col("conv").alias(conv_col), whole.alias("formatted"), "loss_spans")
 
 
 def parsed(text: Column) -> Column:

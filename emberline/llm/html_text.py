@@ -1,11 +1,13 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Menus, headers, footers, sidebars, notices, adverts, forms, comments and the like
-are told by their element, role, class or id; scripts, styles and other contents that aren't text are dropped. The
+are told by their element, role, or a word of their class or id; scripts, styles and other contents that aren't text are dropped. The
 first pass decides on the remaining blocks by stop-word density, length and link density; short ones stay ambiguous.
-The second pass lets those inherit the label of the nearest decided neighbours. Where the page marks its article
-(article, main, role=main, itemprop=articleBody), blocks inside it are good unless links make up most of them, and blocks outside are bad.
+The second pass lets those inherit the label of the nearest decided neighbours. A marked article (article, main, role=main,
+itemprop=articleBody) is evidence: inside it a block needs less to be good and none but links can make it bad, and blocks outside are bad as
+long as some block inside is good. Names that a main part may bear, too, never empty a page: where no block is left, those that only such names told are judged like others.
 
+Stop words are those of four languages; a page whose long blocks hold hardly any is taken to be in another one, and length and links decide.
 Within a block character references are decoded and white space turns into one space.
 
 Results in special cases: a null or empty html, or a page without main text, gives the empty text; repeated rows each
@@ -45,37 +47,46 @@ BLOCK_TAGS = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER_TAGS = frozenset("article aside blockquote body details dialog dir div dl fieldset figure footer form head header html li main menu nav ol search section table tbody td tfoot thead tr ul".split())
-RAW_TAGS = frozenset("script style noscript template textarea title iframe noembed noframes object applet svg math canvas audio video select button datalist map xmp".split())
+RAW_TAGS = frozenset("script style noscript template textarea title iframe noembed noframes applet svg canvas audio video select button datalist map xmp".split())
+REGIONS = frozenset("article main footer nav aside".split())
+WITHIN = frozenset("div section li ul ol td tr".split())
 BOILER_TAGS = frozenset("head nav footer aside form menu dialog search".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+# Words of class names and ids that tell what isn't the article, and those that say that something lacks or only has such a part.
 BOILER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar footer masthead topbar cookie cookies consent gdpr notice notification notifications alert popup modal overlay newsletter subscribe "
     "subscription social share sharing related recommended recommendations comment comments respond replies disqus widget widgets toolbar "
     "pagination pager legal copyright disclaimer login signin signup search skip hidden".split()
 )
+MODIFIERS = frozenset("has no not non with without is overflow hide show".split())
+#: Names that a page's main part may bear, too.
+SOFT_NAMES = frozenset("search legal share social related recommended recommendations hidden sidebar widget widgets header skip copyright promo promotion banner overlay modal popup alert notice masthead".split())
 #: Names that tell boilerplate outside an article alone: inside, they are often its own parts.
 OUTSIDE_NAMES = frozenset({"header"})
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.30
 MOST_LINKS, ARTICLE_LINKS = 0.33, 0.8
+#: Stop-word density of a page's long blocks under which its language isn't one of STOP_WORDS.
+FOREIGN = 0.12
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*+(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+COPYRIGHT = re.compile(r"\s*(?:\xa9|\(c\)|copyright\b)", re.IGNORECASE)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Block:
-    """A block of text; label is good, bad, or short until the second pass has decided."""
+    """A block of text; boiler: what told it ("name", another reason, or ""); label is good, bad, or near or short until the second pass has decided."""
 
     text: str
     link_chars: int
     tag: str
-    boiler: bool
+    boiler: str
     article: bool
     label: str = ""
 
@@ -87,24 +98,34 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
-def _is_boiler(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def _boiler(tag: str, attrs: dict[str, str], in_article: bool) -> str:
+    """Why an element isn't part of the article: "sure", "name" where only a soft name says so, "" if nothing does."""
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
-        return True
+        return "sure"
     if attrs.get("role", "").lower() in BOILER_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
+        return "sure"
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    names = {x.lower() for x in NAME_PARTS.findall(named)} | {*re.split(r"[\s_-]+", named.lower())}
-    return bool(names & BOILER_NAMES) or (not in_article and bool(names & OUTSIDE_NAMES))
+        return "sure"
+    told = {_named(x, in_article) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()}
+    return "sure" if "sure" in told else "name" if "name" in told else ""
+
+
+def _named(token: str, in_article: bool) -> str:
+    """Whether a class or id is one of the names, or a compound that begins or ends with one (cookie-notice, sidebarLeft, post-comments): "name" if soft ones alone say so."""
+    names = BOILER_NAMES if in_article else BOILER_NAMES | OUTSIDE_NAMES
+    parts = [x.lower() for x in NAME_PARTS.findall(token)]
+    told = {token.lower()} & names or (set() if not parts or MODIFIERS & {*parts} else {parts[0], parts[-1]} & names)
+    return "" if not told else "name" if told <= SOFT_NAMES else "sure"
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks with text, in page order, not labelled yet."""
     out: list[Block] = []
     stack: list[tuple[str, str, bool]] = []  # container, why it is boilerplate or "", within an article
+    open_: dict[str, list[int]] = {}  # places in the stack of each open container, and of REGIONS' ones
+    regions: list[int] = []
     parts: list[tuple[str, bool]] = []
-    links, tag_now, inline_boiler, own_boiler = 0, "", "", False
+    links, tag_now, inline_boiler, own_boiler = 0, "", "", ""
     lower: str | None = None
 
     def flush() -> None:
@@ -114,7 +135,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = " ".join(html_entities.unescape("".join(p for p, a in parts if a)).split())
                 why, article = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-                out.append(Block(text, len(linked), tag_now, bool(why) or own_boiler, article))
+                out.append(Block(text, len(linked), tag_now, why or own_boiler, article))
             parts = []
 
     at, n = 0, len(page)
@@ -147,32 +168,39 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links + (-1 if closing else 1))
             if inline_boiler == tag and closing:
                 inline_boiler = ""
-            elif not closing and not inline_boiler and tag not in VOID_TAGS and tag in ("span", "small", "label") and m[3] and _is_boiler(tag, attributes(m[3]), bool(stack and stack[-1][2])):
+            elif not closing and not inline_boiler and tag not in VOID_TAGS and tag in ("span", "small", "label") and m[3] and _boiler(tag, attributes(m[3]), bool(stack and stack[-1][2])):
                 inline_boiler = tag
             continue
         flush()
-        links, inline_boiler, own_boiler, tag_now = 0, "", False, "" if closing else tag
+        links, inline_boiler, own_boiler, tag_now = 0, "", "", "" if closing else tag
         if tag not in CONTAINER_TAGS or tag in VOID_TAGS:
-            own_boiler = not closing and bool(m[3]) and _is_boiler(tag, attributes(m[3]), bool(stack and stack[-1][2]))
+            own_boiler = "" if closing or not m[3] else _boiler(tag, attributes(m[3]), bool(stack and stack[-1][2]))
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "main", "footer", "nav", "aside") and tag in ("div", "section", "li", "ul", "ol", "td", "tr"):
-                    break  # a stray end tag doesn't leave a region
+            k = open_[tag][-1] if open_.get(tag) else -1
+            # a stray end tag doesn't leave a region
+            if k >= 0 and not (tag in WITHIN and regions and regions[-1] > k):
+                for name, _, _ in stack[k:]:
+                    open_[name].pop()
+                del stack[k:]
+                while regions and regions[-1] >= k:
+                    regions.pop()
             continue
         why, article = (stack[-1][1], stack[-1][2]) if stack else ("", False)
         if tag == "body" and why == "head":
             stack.clear()
+            open_.clear()
+            regions.clear()
             why, article = "", False
         attrs = attributes(m[3]) if m[3] else {}
         marked = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
         if marked and why == "form":
             why = ""  # some pages are one form
-        if not why and tag not in ("html", "body") and not (marked and tag in ("article", "main")) and _is_boiler(tag, attrs, article):
-            why = "head" if tag == "head" else "form" if tag == "form" else "boiler"
+        if why in ("", "name") and tag not in ("html", "body") and not (marked and tag in ("article", "main")) and (told := _boiler(tag, attrs, article)):
+            why = tag if tag in ("head", "form") else told if not why else max(why, told)
+        open_.setdefault(tag, []).append(len(stack))
+        if tag in REGIONS:
+            regions.append(len(stack))
         stack.append((tag, why, article or (marked and not why)))
     flush()
     return out
@@ -184,23 +212,39 @@ def _ascii_lower(page: str) -> str:
 
 def classify(found: list[Block]) -> list[Block]:
     """Labels every block good or bad."""
-    marked = any(b.article and not b.boiler for b in found)
-    for b in found:
-        density = b.link_chars / len(b.text)
-        if b.boiler or (marked and not b.article):
-            b.label = "bad"
-        elif b.article:
-            b.label = "bad" if density > ARTICLE_LINKS and len(b.text) < LENGTH_LOW and b.tag == "li" else "good" if len(b.text) >= LENGTH_LOW or stop_density(b.text) >= STOP_LOW else "short"
-        elif density > MOST_LINKS or "\xa9" in b.text:
+    for trusted in (("sure", "head", "form", "name"), ("sure", "head", "form")):
+        for only_article in (True, False):
+            left = [b for b in found if b.boiler not in trusted and (b.article or not only_article)]
+            for b in found:
+                b.label = "bad"
+            _decide(left)
+            _inherit(left)
+            if any(b.label == "good" for b in left):
+                return found
+        if not any(b.boiler == "name" for b in found):
+            break
+    return found
+
+
+def _decide(left: list[Block]) -> None:
+    """The first pass over what is no boilerplate."""
+    long = [b for b in left if len(b.text) >= LENGTH_LOW]
+    foreign = stop_density(" ".join(b.text for b in long)) < FOREIGN
+    for b in left:
+        links, stop = b.link_chars / len(b.text), STOP_HIGH if foreign else stop_density(b.text)
+        if b.article:
+            if links > ARTICLE_LINKS:
+                b.label = "short"
+            else:
+                b.label = "good" if len(b.text) >= LENGTH_HIGH or stop >= STOP_LOW else "near" if len(b.text) >= LENGTH_LOW else "short"
+        elif links > MOST_LINKS:
             b.label = "bad"
         elif len(b.text) < LENGTH_LOW:
-            b.label = "bad" if b.link_chars else "short"
-        elif stop_density(b.text) >= STOP_HIGH:
+            b.label = "bad" if b.link_chars or COPYRIGHT.match(b.text) else "short"
+        elif stop >= STOP_HIGH:
             b.label = "good" if len(b.text) > LENGTH_HIGH else "near"
         else:
-            b.label = "near" if stop_density(b.text) >= STOP_LOW else "bad"
-    _inherit(found, marked)
-    return found
+            b.label = "near" if stop >= STOP_LOW else "bad"
 
 
 def stop_density(text: str) -> float:
@@ -208,15 +252,10 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _inherit(found: list[Block], marked: bool) -> None:
-    """Short and near blocks get the label of the nearest decided neighbours: both alike, or else the closer one; near ones and headings beat a bad neighbour at the same distance."""
-    if marked:
-        # outside blocks are decided by their place, so only the article's own blocks are neighbours
-        inside = [b for b in found if b.article and not b.boiler]
-    else:
-        inside = [b for b in found if not b.boiler]
-    decided = [b.label if b.label in ("good", "bad") else "" for b in inside]
-    n = len(inside)
+def _inherit(left: list[Block]) -> None:
+    """The second pass: short and near blocks get the label of the nearest decided neighbours: both alike, or else the closer one; near ones and headings beat a bad neighbour at the same distance. Without any, those of an article and near ones are good."""
+    decided = [b.label if b.label in ("good", "bad") else "" for b in left]
+    n = len(left)
     before: list[tuple[str, int]] = []
     last = ("", n + 1)
     for x in decided:
@@ -227,18 +266,18 @@ def _inherit(found: list[Block], marked: bool) -> None:
     for k in range(n - 1, -1, -1):
         last = (decided[k], 0) if decided[k] else (last[0], last[1] + 1)
         after[k] = last
-    for k, b in enumerate(inside):
+    for k, b in enumerate(left):
         if decided[k]:
             continue
         (p, dp), (q, dq) = before[k], after[k]
         if not p and not q:
-            b.label = "good" if marked or b.label == "near" else "bad"
+            b.label = "good" if b.article or b.label == "near" else "bad"
         elif p == q or not p or not q:
             b.label = p or q
         elif b.label == "near" or (b.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and q == "good"):
             b.label = "good"
         elif dp == dq:
-            b.label = "good" if marked else "bad"
+            b.label = "good" if b.article else "bad"
         else:
             b.label = p if dp < dq else q
 

@@ -1,12 +1,13 @@
 """Media columns: ISO media containers as binary columns, and what can be known of them without decoding payloads.
 
 store() writes bytes as the frames of an uncompressed 8-bit grey video track; probe() walks the nested boxes of any
-unfragmented ISO media file, decodes its sample tables and gives codec, duration and the byte ranges of key frames.
+ISO media file, decodes its sample tables, those of movie fragments too, and gives codec, duration and the byte ranges of key frames.
 Payloads are never decoded: samples() cuts them out of the file by the ranges that the tables state.
 
 Results in special cases: a null text counts as empty; an empty text still makes one frame of padding; repeated rows
 each give a row; an empty table gives an empty one; other columns are ignored, whatever their names. Bytes that aren't
-an ISO media file, or whose tables point outside it, give nulls in probe()'s columns and its error in `error`.
+an ISO media file, whose boxes nest deeper than MOST_NESTED, or whose tables state more than the file holds or point outside it,
+give nulls in probe()'s columns and the error in `error`.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ FRAME = WIDTH * HEIGHT
 RATE, PER_CHUNK, KEY_EVERY, PAD = 25, 16, 12, b"\xff"
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+MOST_NESTED = 32
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -84,6 +86,8 @@ def muxed(payload: bytes) -> bytes:
 
 def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path of box kinds, start of the body, end) of every box, containers before what they hold."""
+    if len(path) > MOST_NESTED:
+        raise ValueError("boxes are nested too deeply")
     end = len(data) if end is None else end
     while start + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -117,26 +121,96 @@ class Track:
 
 
 def tracks(file: bytes) -> list[Track]:
-    data, out, tables = memoryview(file), [], {}
+    data = memoryview(file)
     if len(file) < 8:
         raise ValueError("no boxes")
-
-    def done() -> None:
-        if tables:
-            out.append(_track(data, tables))
-            tables.clear()
-
+    found: list[dict[bytes, tuple[int, int]]] = []
+    defaults: dict[int, tuple[int, int]] = {}  # track: the body of its trex
+    fragments: list[tuple[int, list[tuple[bytes, int, int]]]] = []  # start of each moof, and the boxes of its trafs
     for path, start, end in walk(data):
         if path == (b"moov", b"trak"):
-            done()
+            found.append({})
         elif path[:2] == (b"moov", b"trak"):
-            tables.setdefault(path[-1], (start, end))
-    done()
-    if not out:
+            found[-1].setdefault(path[-1], (start, end))
+        elif path == (b"moov", b"mvex", b"trex"):
+            defaults[struct.unpack_from(">I", data, start + 4)[0]] = (start, end)
+        elif path == (b"moof",):
+            fragments.append((start - 8, []))
+        elif path[:2] == (b"moof", b"traf"):
+            fragments[-1][1].append((path[-1], start, end))
+    if not found:
         raise ValueError("no track")
+    out = [_track(data, t) for t in found]
+    if fragments:
+        by_id = {struct.unpack_from(">I", data, t[b"tkhd"][0] + (20 if data[t[b"tkhd"][0]] else 12))[0]: k for k, t in enumerate(found)}
+        _add_fragments(data, fragments, defaults, by_id, out)
     return out
 
 
+def _add_fragments(data: memoryview, fragments: list, defaults: dict, by_id: dict[int, int], out: list[Track]) -> None:
+    """Appends the samples that movie fragments list to their tracks."""
+    more: dict[int, tuple[list, list, list, list]] = {k: ([], [], [], []) for k in by_id.values()}
+    for moof, boxes in fragments:
+        base, at, size, length, flags, k = moof, moof, 0, 0, 0, -1
+        for kind, start, end in boxes:
+            if kind == b"tfhd":
+                bits, track = struct.unpack_from(">II", data, start)
+                k, p = by_id[track], start + 8
+                trex = defaults.get(track)
+                length, size, flags = struct.unpack_from(">III", data, trex[0] + 12) if trex else (0, 0, 0)
+                base = moof if bits & 0x20000 or k < 0 else at
+                if bits & 1:
+                    (base,), p = struct.unpack_from(">Q", data, p), p + 8
+                p += 4 * bool(bits & 2)
+                if bits & 8:
+                    (length,), p = struct.unpack_from(">I", data, p), p + 4
+                if bits & 0x10:
+                    (size,), p = struct.unpack_from(">I", data, p), p + 4
+                if bits & 0x20:
+                    (flags,), p = struct.unpack_from(">I", data, p), p + 4
+                at = base
+            elif kind == b"trun":
+                if k < 0:
+                    raise ValueError("a run before its header")
+                bits, n = struct.unpack_from(">II", data, start)
+                p = start + 8
+                if bits & 1:
+                    at, p = base + struct.unpack_from(">i", data, p)[0], p + 4
+                first = None
+                if bits & 4:
+                    (first,), p = struct.unpack_from(">I", data, p), p + 4
+                fields = [b for b in (0x100, 0x200, 0x400, 0x800) if bits & b]
+                if p + 4 * len(fields) * n > end or (not fields and n > len(data)):
+                    raise ValueError("a run is cut short")
+                table = np.frombuffer(data, ">u4", n * len(fields), p).astype(np.int64).reshape(n, len(fields))
+                of = lambda b, same: table[:, fields.index(b)] if b in fields else np.full(n, same, np.int64)  # noqa: B023, E731
+                sizes, marks = of(0x200, size), of(0x400, flags)
+                if first is not None and n and 0x400 not in fields:
+                    marks[0] = first
+                offsets, lengths, sized, keys = more[k]
+                offsets.append(at + np.cumsum(sizes) - sizes)
+                lengths.append(of(0x100, length))
+                sized.append(sizes)
+                keys.append(marks & 0x10000 == 0)
+                at += int(sizes.sum())
+    for k, (offsets, lengths, sized, keys) in more.items():
+        if offsets:
+            t, n = out[k], len(out[k].sizes)
+            t.offsets, t.sizes = np.concatenate([t.offsets, *offsets]), np.concatenate([t.sizes, *sized])
+            t.keys = np.concatenate([t.keys, n + np.flatnonzero(np.concatenate(keys))])
+            t.duration = max(t.duration, int(sum(x.sum() for x in lengths)) + (t.duration if n else 0))
+            _inside(data, t)
+
+
+def _inside(data: memoryview, t: Track) -> None:
+    if len(t.sizes) and (t.offsets.min() < 0 or (t.offsets + t.sizes).max() > len(data)):
+        raise ValueError("samples outside the file")
+    if len(t.keys) and (t.keys.min() < 0 or t.keys.max() >= len(t.sizes)):
+        raise ValueError("a key frame that isn't a sample")
+    if t.sizes.sum() > len(data):
+        raise ValueError("the samples are larger than the file")
+
+
 def _track(data: memoryview, t: dict[bytes, tuple[int, int]]) -> Track:
     def ints(kind: bytes, skip: int, width: int = 1, dtype: str = ">u4") -> np.ndarray:
         at = t[kind][0] + skip
@@ -153,21 +227,26 @@ def _track(data: memoryview, t: dict[bytes, tuple[int, int]]) -> Track:
     width, height = struct.unpack_from(">HH", data, at + 32) if handler == "vide" else (0, 0)
     if b"stsz" in t:
         same, n = struct.unpack_from(">II", data, t[b"stsz"][0] + 4)
+        if n * same > len(data):
+            raise ValueError("the samples are larger than the file")
         sizes = np.full(n, same, np.int64) if same else ints(b"stsz", 12)[:, 0]
     else:
         raise ValueError("no sample sizes")
     chunks = ints(b"co64", 8, 1, ">u8")[:, 0] if b"co64" in t else ints(b"stco", 8)[:, 0]
     runs = ints(b"stsc", 8, 3)
-    each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.zeros(0, np.int64)
+    steps = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if len(runs) and (steps.min() < 0 or steps.sum() > len(chunks)):
+        raise ValueError("runs of chunks that aren't there")
+    each = np.repeat(runs[:, 1], steps) if len(runs) else np.zeros(0, np.int64)
     if each.sum() != len(sizes):
         raise ValueError("the chunks hold another number of samples than there are sizes")
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(each) - each
     offsets = np.repeat(chunks, each) + before - np.repeat(before[first[each > 0]] if len(sizes) else before, each[each > 0])
-    if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
-        raise ValueError("samples outside the file")
     keys = ints(b"stss", 8)[:, 0] - 1 if b"stss" in t else np.arange(len(sizes))
-    return Track(codec, handler, timescale, duration, width, height, offsets, sizes, keys)
+    out = Track(codec, handler, timescale, duration, width, height, offsets, sizes, keys)
+    _inside(data, out)
+    return out
 
 
 def samples(file: bytes, track: Track) -> bytes:
@@ -209,7 +288,7 @@ def probe(files: DataFrame, media_col: str = "media") -> DataFrame:
             keys = [{"offset": o, "length": n} for o, n in zip(t.offsets[t.keys].tolist(), t.sizes[t.keys].tolist(), strict=True)]
             return t.codec, t.width, t.height, len(t.sizes), t.timescale, t.duration, keys, samples(file, t), None
         except (ValueError, KeyError, IndexError, struct.error) as e:
-            return (*[None] * 8, str(e))
+            return (*[None] * 8, f"{type(e).__name__}: {e}")
 
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), ranges, pa.binary(), pa.string()]
     names = [x.split(" ")[0] for x in FEATURES.split(", ")]

@@ -181,7 +181,7 @@ class Plan:
                     keep(room, first + 1, n - 1)
 
 
-def packed(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "start")) -> DataFrame:
+def packed(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "start"), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """rows with sequence_id long and offset long. rows has `length` and should be a written table, as it is read twice.
 
     order are columns that tell rows apart as far as they need be; rows equal in all of them may swap places.
@@ -189,22 +189,27 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     spark = rows.sparkSession
     n = rows.count()
     chunks = max(1, n // CHUNK_ROWS)
-    chunked = rows.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
-    counts = chunked.groupBy("_chunk", "length").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    counts = written(counts.select("_chunk", "length", "_n", before.alias("_before")))
-    lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    plan = Plan(lengths, capacity)
-    schema = "_length long, _from long, _to long, _first long, _each long, _offset long"
-    table = spark.createDataFrame(plan.rows, schema) if plan.rows else spark.createDataFrame([], schema)
-    if len(plan.rows) <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    ranked = chunked.withColumn("_rank", F.row_number().over(Window.partitionBy("_chunk", "length").orderBy(*order)).cast("long"))
-    ranked = ranked.join(counts.drop("_n"), ["_chunk", "length"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
-    placed = ranked.join(table, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    at = F.col("_rank") - F.col("_from")
+    # the rows' own columns travel in one struct, so their names clash with none
+    chunked = rows.select(F.struct(*rows.columns).alias("row"), F.col("length").alias("size"), F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int").alias("chunk"))
+    counts = chunked.groupBy("chunk", "size").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("size").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    counts = written(counts.select("chunk", "size", "n", before.alias("before")))
+    plan = Plan({r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}, capacity)
+    table = spark.createDataFrame(plan.rows, "size long, from long, to long, first long, each long, at long")
+    ranked = chunked.withColumn("rank", F.row_number().over(Window.partitionBy("chunk", "size").orderBy(*(F.col("row")[c] for c in order))).cast("long"))
+    # counts grow with the rows, so they are never broadcast
+    ranked = ranked.join(counts.drop("n").hint("merge"), ["chunk", "size"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
+    inside = (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))
+    if len(plan.rows) <= broadcast_rows:
+        placed = ranked.join(F.broadcast(table).withColumnRenamed("size", "of"), (F.col("size") == F.col("of")) & inside)
+    else:
+        # by length and a stretch of ranks, as one length may have most of the rows
+        stretch = lambda x: F.floor(x / F.lit(CHUNK_ROWS)).cast("long")
+        table = table.withColumnRenamed("size", "of").withColumn("stretch", F.explode(F.sequence(stretch(F.col("from")), stretch(F.col("to") - 1))))
+        placed = ranked.withColumn("own", stretch(F.col("rank"))).join(table.hint("merge"), (F.col("size") == F.col("of")) & (F.col("own") == F.col("stretch")) & inside)
+    at = F.col("rank") - F.col("from")
     return placed.select(
-        *rows.columns,
-        (F.col("_first") + F.floor(at / F.col("_each"))).cast("long").alias("sequence_id"),
-        (F.col("_offset") + F.pmod(at, F.col("_each")) * F.col("length")).cast("long").alias("offset"),
+        "row.*",
+        (F.col("first") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"),
+        (F.col("at") + F.pmod(at, F.col("each")) * F.col("size")).cast("long").alias("offset"),
     )

@@ -99,13 +99,14 @@ class Condition:
         return x[self.feature] > self.threshold if self.above else x[self.feature] <= self.threshold
 
 
-def labelled(stats_of: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", limit: int = MAX_LABELLED) -> dict[str, np.ndarray]:
-    """FEATURES and "label" of at most `limit` labelled documents that pass the base rules; stats_of holds the documents."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
-    few = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(limit)
-    docs = stats_of.join(F.broadcast(few), stats_of[id_col] == F.col("label_id"))
-    rows = statistics(docs.select("label", F.col(id_col), "text").select(F.struct(id_col, "label").alias("key"), "text"), "key").where(~base_failed())
-    got = rows.select("key", "key.label", *(F.expr(e).alias(n) for n, e in FEATURES.items())).orderBy("key").collect()
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELLED) -> dict[str, np.ndarray]:
+    """FEATURES and "label" of at most `limit` labelled documents that pass the base rules; of documents that share an id one teaches."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("label"))
+    few = known.orderBy(F.xxhash64("i"), "i", "label").limit(limit)
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(few), "i")
+    rows = statistics(texts.select(F.struct("i", "label").alias("key"), "text"), "key").where(~base_failed())
+    one = rows.groupBy("key").agg(F.min(F.struct(*(F.expr(e).alias(n) for n, e in FEATURES.items()))).alias("x"))
+    got = one.select("key", "key.label", "x.*").orderBy("key").collect()
     return {n: np.array([r[n] for r in got], float) for n in FEATURES} | {"label": np.array([r["label"] for r in got], int)}
 
 

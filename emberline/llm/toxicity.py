@@ -6,12 +6,15 @@ inflection that was never seen shares most vectors with words that were. A text
 words that matter would vanish in the average of a long text; in training, too, a toxic text teaches by the windows that look
 most toxic, a clean one by all its windows. Scores are calibrated on labelled rows of their own.
 
-fit() takes a bounded sample: at most MAX_LABELLED labelled texts of each kind to train on and MAX_CALIBRATION to calibrate on,
-those with the smallest hash of their id; texts above MAX_TRAIN_CHARS characters teach nothing, but are scored whole like all.
+fit() takes a bounded sample, of whole texts: at most MAX_LABELLED labelled texts of each kind to train on and MAX_CALIBRATION to calibrate
+on, in the order of a hash of their id, and of those as many as fit into MAX_SAMPLE_CHARS characters in all; every text is scored whole.
+
+Where `collapse` holds, a word that only repeats the one before it counts once, or it would fill windows alone. Cross-validation inside the rows
+that may teach decided for it (README).
 
 Results in special cases: a null, empty or wordless text has the calibrated score of an empty bag; repeated rows each give a row;
-an empty table gives an empty one; without labels of both kinds every score is 0; rows whose label or id is null teach nothing; other
-columns are ignored, whatever their names.
+an empty table gives an empty one; without labels of both kinds every score is 0; rows whose label or id is null teach nothing; of documents that
+share an id one teaches; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import small_batches
+from emberline.llm.common import small_batches, written
 
 WORD = re.compile(r"[^\W_]+")
 BUCKETS, DIMENSIONS = 1 << 16, 8
 SHORTEST, LONGEST = 3, 6
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 24, 12
-MAX_LABELLED, MAX_CALIBRATION, MAX_TRAIN_CHARS = 1200, 2400, 100_000
+MAX_LABELLED, MAX_CALIBRATION, MAX_SAMPLE_CHARS = 1200, 2400, 32_000_000
 EPOCHS, WARM, BATCH, RATE = 9, 3, 128, 0.5
 CACHE_WORDS = 400_000
 THRESHOLD = 0.3
@@ -58,10 +61,10 @@ def subwords(word: str) -> list[int]:
     return [crc32(data[at[s.start] : at[s.stop]]) % BUCKETS for s in _spans(len(marked))]
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-cased words; a word that only repeats the one before it isn't counted again, or it would fill windows alone."""
+def words(text: str | None, collapse: bool = True) -> list[str]:
+    """Lower-cased words; with `collapse` without those that only repeat the one before them."""
     found = WORD.findall(text.lower()) if text else []
-    return [w for w, last in zip(found, [None, *found], strict=False) if w != last]
+    return [w for w, last in zip(found, [None, *found], strict=False) if w != last] if collapse else found
 
 
 def window_starts(n: int, stride: int) -> np.ndarray:
@@ -70,22 +73,23 @@ def window_starts(n: int, stride: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """weights: each bucket's part in the log-odds; base: those of an empty bag; slope and shift: calibration."""
+    """weights: each bucket's part in the log-odds; base: those of an empty bag; slope and shift: calibration; collapse: see words()."""
 
     weights: np.ndarray
     base: float
     slope: float = 1.0
     shift: float = 0.0
+    collapse: bool = True
 
     def __post_init__(self) -> None:
         self.cache: dict[str, float] = {}
         self.table: list[float] = self.weights.tolist()
 
     def __getstate__(self) -> tuple:
-        return self.weights, self.base, self.slope, self.shift
+        return self.weights, self.base, self.slope, self.shift, self.collapse
 
     def __setstate__(self, state: tuple) -> None:
-        self.weights, self.base, self.slope, self.shift = state
+        self.weights, self.base, self.slope, self.shift, self.collapse = state
         self.__post_init__()
 
     def word(self, word: str) -> float:
@@ -99,7 +103,7 @@ class Model:
 
     def log_odds(self, text: str | None) -> float:
         """Of the most toxic window of the whole text."""
-        found = words(text)
+        found = words(text, self.collapse)
         if not found:
             return self.base
         values = [*map(self.cache.get, found)]
@@ -127,11 +131,11 @@ def _sums(groups: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(groups, rows[:, k], n) for k in range(rows.shape[1])], axis=1)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], seed: int = 7, collapse: bool = True) -> Model:
     """The jointly trained embeddings and softmax, as weights of buckets."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int32) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t, collapse)], np.int32) for t in texts]
     parts = [np.array(subwords(w), np.int32) for w in vocabulary]
     first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
@@ -183,7 +187,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             W -= 0.1 * dW / np.sqrt(gW)
             gb += db * db
             b -= 0.1 * db / np.sqrt(gb)
-    return Model((E @ (W[1] - W[0])).astype(np.float32), float(b[1] - b[0]))
+    return Model((E @ (W[1] - W[0])).astype(np.float32), float(b[1] - b[0]), collapse=collapse)
 
 
 def calibrated(model: Model, texts: list[str], labels: list[int]) -> Model:
@@ -205,23 +209,36 @@ def calibrated(model: Model, texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED, most_calibration: int = MAX_CALIBRATION) -> Model | None:
-    """The model of the labelled rows that aren't held out, None without labels of both kinds. docs holds the texts."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), (F.col(label_col) > 0).cast("int").alias("y"), (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4).alias("part"))
+def sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED, most_calibration: int = MAX_CALIBRATION, most_chars: int = MAX_SAMPLE_CHARS) -> tuple[list, list]:
+    """(rows to train on, rows to calibrate on) of (y, t), in a fixed order; none of them is held out."""
+    remainder = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), (F.col(label_col) > 0).cast("int").alias("y"), (remainder == 3).alias("last"))
 
     def few(rows: DataFrame, n: int) -> DataFrame:
         return rows.orderBy(F.xxhash64("i"), "i", "y").limit(n)
 
-    chosen = few(known.where("part <> 3 and y = 1"), most).union(few(known.where("part <> 3 and y = 0"), most)).union(few(known.where("part = 3"), most_calibration))
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t") <= MAX_TRAIN_CHARS)
-    got = texts.join(F.broadcast(chosen), "i").select("i", "y", "part", "t").collect()
-    got.sort(key=lambda r: (r["part"] == 3, r["i"], r["y"], r["t"]))
-    part = lambda last: [r for r in got if (r["part"] == 3) == last]
-    rows = part(False)
-    if len({r["y"] for r in rows}) < 2:
+    chosen = few(known.where("not last and y = 1"), most).union(few(known.where("not last and y = 0"), most)).union(few(known.where("last"), most_calibration)).distinct()
+    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "i")
+    picked = written(texts.groupBy("i", "y", "last").agg(F.min_by("t", F.xxhash64("t")).alias("t")))
+    left, kept = most_chars, []
+    for r in sorted(picked.select("i", "y", "last", F.xxhash64("i").alias("h"), F.length("t").alias("n")).collect(), key=lambda r: (r["h"], r["i"], r["y"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            kept.append((r["i"], r["y"]))
+    if not kept:
+        return [], []
+    ids = docs.sparkSession.createDataFrame(kept, f"i {picked.schema['i'].dataType.simpleString()}, y int")
+    got = sorted(picked.join(F.broadcast(ids), ["i", "y"]).collect(), key=lambda r: (r["i"], r["y"]))
+    return [(r["y"], r["t"]) for r in got if not r["last"]], [(r["y"], r["t"]) for r in got if r["last"]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", collapse: bool = True, **bounds: int) -> Model | None:
+    """The model of the labelled rows that aren't held out, None without labels of both kinds. docs holds the texts; bounds are those of sample()."""
+    rows, rest = sample(docs, labels, label_col, id_col, text_col, **bounds)
+    if len({y for y, _ in rows}) < 2:
         return None
-    model = train([r["t"] for r in rows], [r["y"] for r in rows])
-    return calibrated(model, [r["t"] for r in part(True)], [r["y"] for r in part(True)])
+    model = train([t for _, t in rows], [y for y, _ in rows], collapse=collapse)
+    return calibrated(model, [t for _, t in rest], [y for y, _ in rest])
 
 
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,8 +10,8 @@ The dictionary is trained on all records of the part; where they are too few or
 own first DICTIONARY_BYTES.
 
 Results in special cases: a null html counts as empty and makes an empty payload; a null url becomes "urn:null:" and a null id the
-record id "null", which sorts after all others; rows equal in id and payload make a response and revisits that refer to that
-id; an empty table gives an empty one; other columns are ignored, whatever their names. A record that isn't whole
+record id "null"; payloads of null ids alone are all responses, beside a row with an id they are its revisits; rows equal in id and
+payload are the same record, so all of them are responses where that id is the smallest, else all are revisits; an empty table gives an empty one; other columns are ignored, whatever their names. A record that isn't whole
 raises ValueError when read.
 """
 
@@ -126,8 +126,8 @@ def deduplicated(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("urn:null:")).alias("url"), text_or_empty(html_col).cast("binary").alias("data"))
     small = rows.select("id", F.unhex(F.sha1("data")).alias("key"), (F.length("data") >= least).alias("long"))
     first = small.where("long").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # only groups of copies come this far; a row that isn't its group's first refers to it
-    copies = small.where("long").join(first, "key").groupBy("id", "key").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    # only groups of copies come this far; a row that isn't its group's first refers to it. A large group's rows are split by Spark's skew join
+    copies = small.where("long").join(first, "key").select("id", "key", "first").distinct()
     keyed = rows.withColumn("key", F.unhex(F.sha1("data"))).join(copies.select(F.col("id").alias("i"), F.col("key").alias("k"), "first"), F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
     return keyed.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id"), "url", "data", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string")).alias("refers_to"))
 
