@@ -147,6 +147,41 @@ def test_html_without_article_uses_both_passes():
     assert html_text.main_text(page) == "\n".join(["Title", body.strip(), "Short one.", body.strip()])
 
 
+LONG = "This is the text that we have to keep, as it is long and it has many of the words that all of us use when we write to each other. " * 2
+POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Nie wolno ponadto czynić żadnej różnicy."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="layout has-sidebar"><p>{LONG}', LONG),
+        (f'<div class="page no-sidebar"><article><p>{LONG}', LONG),
+        (f'<div class="overflow-hidden"><article>{LONG}', LONG),
+        (f'<div class="search-results"><p>{LONG}', LONG),
+        (f"<p>{POLISH}", POLISH),
+        (f"<article><p>{LONG}<p>The maker \xa9 2020 said so.</article>", LONG + "\nThe maker \xa9 2020 said so."),
+        (f"<article><p>{LONG}<ul><li><a href=x>First item</a><li><a href=y>Second</a></ul></article>", LONG + "\nFirst item\nSecond"),
+        (f"<article><p>{LONG}<math><mi>x</mi><mo>=</mo><mn>1</mn></math></article>", LONG + "x=1"),
+        (f'<article><p>{LONG}</article><div class="comments"><article class=comment><p>{LONG}</article></div><p>&copy; 2020 x</p>', LONG),
+        (f"<div class=comments><p>{LONG}</div>", ""),
+        (f'<div class="main-nav">{LONG}</div><div class=postComments>{LONG}</div><p>{LONG}<div id="sidebar">{LONG}</div>', LONG),
+    ],
+)
+def test_html_names_and_densities(page, text):
+    assert html_text.main_text(page) == "\n".join(x.strip() for x in text.split("\n"))
+
+
+def test_html_end_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert html_text.main_text("<div>" * n + "</section>" * n + f"<p>{LONG}") == LONG.strip()
+        return time.perf_counter() - began
+
+    assert seconds(20_000) < 20 * max(seconds(2_000), 0.01)
+
+
 def test_html_rows(spark):
     d = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert [len(r.text) for r in html_text.extracted(d).orderBy("page_id").collect()] == [44, 44, 0]
