@@ -16,8 +16,7 @@ def keyed(d: Spark) -> str:
     return f"keyed as (select doc_id, source, lang, text, length(text) as n, sha1({normal(d, 'text')}) as k from {d.t('documents')})"
 
 
-CATALOGUE.add("q_exact_dedup", "documents", lambda d: f"""with {keyed(d)}, ranked as (select *, row_number() over (partition by k order by doc_id) as r, count(*) over (partition by k) as copies from keyed)
-select doc_id, k as content_key, cast(copies as bigint) as copies from ranked where r = 1""")
+CATALOGUE.add("q_exact_dedup", "documents", lambda d: f"""with {keyed(d)} select min(doc_id) as doc_id, k as content_key, cast(count(*) as bigint) as copies from keyed group by k""")
 CATALOGUE.add("q_dedup_funnel", "documents", lambda d: f"""with {keyed(d)} select cast(count(*) as bigint) as n_files, cast(count(distinct k) as bigint) as n_unique, cast(count(*) - count(distinct k) as bigint) as n_dup from keyed""")
 CATALOGUE.add("q_exclude_known", "documents benchmark", lambda d: f"""with {keyed(d)}, ex as (select distinct sha1({normal(d, 'text')}) as k from {d.t('benchmark')})
 select doc_id, k as content_key from keyed where not exists (select 1 from ex where ex.k = keyed.k)""")
@@ -44,14 +43,12 @@ decided as (select source, lang, case when n < 4 then 'unprobed' when rate > 0.9
 t as (select d.doc_id, d.source, d.lang, coalesce(decision, 'unprobed') as decision from {d.t('documents')} d left join decided x on d.source = x.source and d.lang = x.lang)
 select decision, cast(count(*) as bigint) as tasks, cast(count(distinct source) as bigint) as functions, cast(count(distinct concat(source, '|', lang)) as bigint) as chains from t group by decision""")
 CATALOGUE.add("q_candidate_sample", "documents", lambda d: f"""select doc_id, {d.unit("concat('sample|', cast(doc_id as varchar(20)))")} as draw from {d.t('documents')} order by draw, doc_id limit 100""")
-CATALOGUE.add("q_token_offsets", "documents", lambda d: f"""with t as (select doc_id, {d.unit("concat('order|', cast(doc_id as varchar(20)))")} as draw, length(text) + 1 as n from {d.t('documents')}),
-o as (select doc_id, n, sum(n) over (order by draw, doc_id rows unbounded preceding) as upto, sum(n) over () as total from t)
-select doc_id, cast(upto - n as bigint) as start, cast(upto as bigint) as stop, upto - n < greatest(0.02 * total, 8 * 257) as val from o""")
-CATALOGUE.add("q_doc_windows", "documents", lambda d: f"""with t as (select doc_id, length(text) + 1 as n from {d.t('documents')}), o as (select doc_id, n, sum(n) over (order by doc_id rows unbounded preceding) as upto, sum(n) over () as total from t),
-w as (select i, {d.draw("concat('window|', cast(i as varchar(10)))", "(select max(total) from o)")} as pos from {d.series(64, "i")})
+CATALOGUE.add("q_token_offsets", "documents", lambda d: f"""with {d.ranked("o", f"""select doc_id, {d.unit("concat('order|', cast(doc_id as varchar(20)))")} as draw, length(text) + 1 as n from {d.t('documents')}""", "draw, doc_id", upto="n")}
+select doc_id, cast(upto - n as bigint) as start, cast(upto as bigint) as stop, upto - n < greatest(0.02 * (select sum(n) from o), 8 * 257) as val from o""")
+CATALOGUE.add("q_doc_windows", "documents", lambda d: f"""with {d.ranked("o", f"select doc_id, length(text) + 1 as n from {d.t('documents')}", "doc_id", upto="n")},
+w as (select i, {d.draw("concat('window|', cast(i as varchar(10)))", "(select sum(n) from o)")} as pos from {d.series(64, "i")})
 select i as window_id, doc_id, cast(pos - (upto - n) as bigint) as doc_offset from w join o on pos >= upto - n and pos < upto""")
-CATALOGUE.add("q_mixture", "conversations documents", lambda d: f"""with a as (select 'chat' as kind, conv_id as id, {d.unit("concat('mix|c', cast(conv_id as varchar(20)))")} as draw from {d.t('conversations')} where turn = 0),
-b as (select 'doc' as kind, doc_id as id, {d.unit("concat('mix|d', cast(doc_id as varchar(20)))")} as draw from {d.t('documents')}), ranked as (select *, row_number() over (order by draw, id) as r from b),
-m as (select kind, id, draw from a union all select kind, id, draw from ranked where r <= 0.5 * (select count(*) from a))
-select kind, id, cast(row_number() over (order by draw, kind, id) as bigint) as position from m""")
+CATALOGUE.add("q_mixture", "conversations documents", lambda d: f"""with {d.ranked("ranked", f"""select 'doc' as kind, doc_id as id, {d.unit("concat('mix|d', cast(doc_id as varchar(20)))")} as draw from {d.t('documents')}""", "draw, id")},
+{d.ranked("m", f"""select kind, id, draw from (select 'chat' as kind, conv_id as id, {d.unit("concat('mix|c', cast(conv_id as varchar(20)))")} as draw from {d.t('conversations')} where turn = 0) y union all select kind, id, draw from {"{ranked}" if d.name == "spark" else "ranked"} where r <= 0.5 * (select count(*) from {d.t('conversations')} where turn = 0)""", "draw, kind, id", "position")}
+select kind, id, cast(position as bigint) as position from m""")
 CATALOGUE.add("q_difference", "documents benchmark", lambda d: f"""select source from {d.t('documents')} where lang = 'en' except select source from {d.t('documents')} where lang = 'es' and n_chars > 15000""")

@@ -5,12 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from emberline.operators.tables import kept_table
+
+
+@dataclass
+class Ranked:
+    """Rows to be numbered from 1 in one order over the whole table, with running sums."""
+
+    select: str
+    order: str
+    rank: str
+    sums: dict[str, str]
 
 
 class Spark:
     name = "spark"
 
+    def __init__(self) -> None:
+        self.ahead: dict[str, Ranked] = {}
+
+    def ranked(self, alias: str, select: str, order: str, rank: str = "r", **sums: str) -> str:
+        """A table expression `alias`: rows of select with their place in `order` and, by name, running sums that include their own row.
+
+        One window over a whole table would be one task, so Spark numbers the rows ahead, range by range.
+        """
+        self.ahead[alias] = Ranked(select, order, rank, sums)
+        return f"{alias} as (select * from {{{alias}}})"
+
     def t(self, table: str) -> str:
         return "{" + table + "}"
 
@@ -65,6 +89,10 @@ class Spark:
 class Duck(Spark):
     name = "duckdb"
 
+    def ranked(self, alias: str, select: str, order: str, rank: str = "r", **sums: str) -> str:
+        more = "".join(f", sum({x}) over (order by {order} rows unbounded preceding) as {name}" for name, x in sums.items())
+        return f"{alias} as (select *, row_number() over (order by {order}) as {rank}{more} from ({select}) x)"
+
     def t(self, table: str) -> str:
         return table
 
@@ -110,6 +138,23 @@ class Duck(Spark):
         return f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
 
 
+def numbered(df: DataFrame, r: Ranked) -> DataFrame:
+    """df with its rows' places and running sums: dealt by ranges of the order, which are written once, numbered each by itself, and moved on by what the ranges before it hold."""
+    spark = df.sparkSession
+    order = [F.expr(x) for x in r.order.split(", ")]
+    dealt = kept_table(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_range").agg(F.count("*").alias("n"), *(F.sum(F.expr(x)).cast("double").alias(name) for name, x in r.sums.items())).orderBy("_range").collect()
+    names, before, rows = ["n", *r.sums], dict.fromkeys(["n", *r.sums], 0.0), []
+    for t in totals:  # a row for each range, however many rows there are
+        rows.append((t["_range"], *before.values()))
+        before = {n: before[n] + (t[n] or 0) for n in names}
+    offsets = spark.createDataFrame(rows, "_range int, " + ", ".join(f"_{n} double" for n in names))
+    own = Window.partitionBy("_range").orderBy(*order)
+    running = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = dealt.withColumns({r.rank: F.row_number().over(own), **{n: F.sum(F.expr(x)).over(running) for n, x in r.sums.items()}}).join(F.broadcast(offsets), "_range")
+    return told.withColumns({c: (F.col(c) + F.col(f"_{n}")).cast("long") for c, n in ((r.rank, "n"), *((n, n) for n in r.sums))}).drop("_range", *(f"_{n}" for n in names))
+
+
 @dataclass
 class Catalogue:
     """Named queries with the tables that each reads."""
@@ -120,7 +165,11 @@ class Catalogue:
     def add(self, name: str, tables: str, text: Callable[[Spark], str]) -> None:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()}
-            return spark.sql(text(Spark()), **frames)
+            d = Spark()
+            whole = text(d)
+            for alias, r in d.ahead.items():
+                frames[alias] = numbered(spark.sql(r.select, **frames), r)
+            return spark.sql(whole, **frames)
 
         self.queries[name] = run
         self.sql[name] = text(Duck())

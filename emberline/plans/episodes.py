@@ -103,17 +103,17 @@ STEP_METRICS = """round(avg(case when kind <> 'stop' then case when status = 'ok
   round(avg(case when kind <> 'stop' then case when status = 'malformed' then 1e0 else 0e0 end end), 6) as malformed_rate"""
 
 
-def metrics(d: Spark, key: str) -> str:
-    """Episode-grain and step-grain aggregates, and the upper median, joined on the group key."""
-    return f"""with {records(d)}, a as (select {key} as k, {METRICS} from records group by {key}),
-b as (select {key} as k, {STEP_METRICS} from steps group by {key}),
-ranked as (select {key} as k, speedup, row_number() over (partition by {key} order by speedup) as r, count(*) over (partition by {key}) as n from records),
-m as (select k, round(max(speedup), 6) as median_speedup from ranked where r = floor(n / 2) + 1 group by k)
-select a.*, b.edit_correct_rate, b.first_edit_correct_rate, b.slower_edit_rate, b.malformed_rate, m.median_speedup from a join b on a.k = b.k join m on a.k = m.k"""
+def metrics(d: Spark, key: str, families: bool = False) -> str:
+    """Episode-grain and step-grain aggregates, and the upper median, joined on the group key. families: the keys of an episode are its families, each once."""
+    more = ", fam as (select distinct episode_id, fam from (select episode_id, family as fam from records union all select episode_id, task_id % 3 from records) x)" if families else ""
+    with_key = lambda t: f"{t} join fam on {t}.episode_id = fam.episode_id" if families else t
+    return f"""with {records(d)}{more}, a as (select {key} as k, {METRICS}, round(percentile_disc(0.5) within group (order by speedup desc), 6) as median_speedup from {with_key("records")} group by {key}),
+b as (select {key} as k, {STEP_METRICS} from {with_key("steps")} group by {key})
+select a.*, b.edit_correct_rate, b.first_edit_correct_rate, b.slower_edit_rate, b.malformed_rate from a join b on a.k = b.k"""
 
 
 add("q_episode_metrics", lambda d: metrics(d, "arm"))
-add("q_metrics_by_family", lambda d: metrics(d, "family"))
+add("q_metrics_by_family", lambda d: metrics(d, "fam", families=True))
 add("q_metrics_by_seed", lambda d: metrics(d, "seed_name"))
 add("q_metrics_by_depth", lambda d: f"""with {records(d)} select n_steps as depth, {METRICS} from records group by n_steps""")
 add("q_status_histogram", lambda d: f"""with {steps(d)} select arm, status, cast(count(*) as bigint) as n from steps where kind <> 'stop' group by arm, status""")
@@ -218,9 +218,15 @@ add("q_rollout_metrics", lambda d: f"""with {records(d)} select arm, round(avg(l
 add("q_clip_loss", lambda d: f"""with {steps(d)}, tokens as (select episode_id, ln(ratio) as lr, case when status = 'ok' then 1e0 else -1e0 end as adv from steps where ratio > 0),
 terms as (select episode_id, exp(lr) as r, -least(exp(lr) * adv, least(greatest(exp(lr), 0.8), 1.28) * adv) + 0.01 * (exp(-lr) - (-lr) - 1) as loss from tokens)
 select round(avg(loss), 5) as token_mean, round(avg(case when r < 0.8 or r > 1.28 then 1e0 else 0e0 end), 6) as clip_frac, round(avg(-ln(r)), 6) as approx_kl from terms""")
-add("q_outcome_hint", lambda d: f"""with {steps(d)} select episode_id, step, case when kind = 'stop' then 'stopping here is right' when status = 'malformed' then 'the next action is malformed; answer with a complete <EDIT> or <STOP>'
-  when status = 'incorrect' then 'the next edit to the code changes its behaviour; it must preserve it exactly' when status = 'ok' and ratio < 0.97 then 'editing the code speeds the code up' when status = 'ok' then 'editing the code gives no speedup'
-  else concat('the next edit to the code fails (', status, ')') end as hint from steps""")
+# The sentences of hints.
+add("q_outcome_hint", lambda d: f"""with {lists(d)}, told as (select episode_id, {d.map_("steps", "s", d.struct(step="s.step", kind="s.kind", status="s.status", ratio="s.ratio", best=d.fold(d.keep("steps", "y", "y.step < s.step"), {"best": "cast(1 as double)"}, lambda a, x: {"best": f"case when {better(a, x)} then {x}.ratio else {a}.best end"}) + ".best"))} as steps from lists),
+each as ({"select episode_id, s.* from told lateral view explode(steps) _x as s" if d.name == "spark" else "select episode_id, unnest(steps, recursive := true) from told"})
+select episode_id, step, case when kind = 'stop' then 'stopping here is right' when status = 'malformed' then 'the next action is malformed; answer with a complete <EDIT> or <STOP>'
+  when status = 'incorrect' then 'the next edit to the code changes its behaviour; it must preserve it exactly'
+  when status in ('syntax_error', 'static_error', 'load_error') then 'the next edit to the code is not valid; it must be plain valid Python'
+  when status = 'runtime_error' then 'the next edit to the code raises an error' when status in ('timeout', 'resource') then 'the next edit to the code is too slow or hangs'
+  when status = 'ok' and ratio < 0.97 * best then 'editing the code speeds the code up' when status = 'ok' then 'editing the code gives no speedup'
+  else concat('the next edit to the code fails (', status, ')') end as hint from each""")
 add("q_difficulty_filter", lambda d: f"""with {records(d)}, rates as (select task_id, avg(case when speedup >= 1.5 then 1e0 else 0e0 end) as rate, count(*) as n from records where arm = 1 group by task_id),
 decided as (select task_id, case when n < 2 then 'unprobed' when rate > 0.9 then 'too_easy' when rate < 0.1 then 'too_hard' else 'keep' end as decision from rates), tasks as (select distinct task_id from records)
 select t.task_id, coalesce(decision, 'unprobed') as decision, coalesce(decision, 'unprobed') in ('keep', 'unprobed') as kept from tasks t left join decided d on t.task_id = d.task_id""")

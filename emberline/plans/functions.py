@@ -34,7 +34,7 @@ add("aggregates", "events", lambda d: f"""with {long(d)}, m as (select *, avg(ca
 select id, cast(sum(case when x > mean then 1 else 0 end) as bigint) as count_above_mean, max(x) - min(x) as value_range, cast(sum(x * x) as bigint) as squares_sum, round(max(cast(x as double) / greatest(total, 1)), 6) as top_share, round(avg(abs(x - mean)), 6) as mean_deviation from m group by id""")
 add("most_frequent", "events", lambda d: f"""with {long(d)}, c as (select id, x, count(*) as n, min(pos) as first_pos from e group by id, x), r as (select *, row_number() over (partition by id order by n desc, first_pos) as r from c) select id, x as most_frequent, cast(n as bigint) as n from r where r = 1""")
 add("word_frequencies", "documents", lambda d: f"""with w as (select doc_id, w from {"(select doc_id, w from (select doc_id, " + d.words("text") + " as ws from {documents}) t lateral view explode(ws) _x as w)" if d.name == "spark" else "(select doc_id, unnest(" + d.words("text") + ") as w from documents)"} v)
-select w as word, cast(count(*) as bigint) as n, cast(count(distinct doc_id) as bigint) as documents from w group by w""")
+select word, cast(sum(n) as bigint) as n, cast(count(*) as bigint) as documents from (select doc_id, w as word, count(*) as n from w group by doc_id, w) x group by word""")
 add("bucket_by_length", "documents", lambda d: f"""select length(text) % 97 as bucket, cast(count(*) as bigint) as n, {d.join(d.array("cast(doc_id as varchar(20))", "doc_id"), ",")} as members from {d.t('documents')} group by length(text) % 97""")
 add("reverse_words", "benchmark", lambda d: f"""select item_id, {d.join("reverse(" + d.words("text") + ")" if d.name == "spark" else "list_reverse(" + d.words("text") + ")", " ")} as reversed, text = reverse(text) as is_palindrome, {d.size(d.words("text"))} as n_words from {d.t('benchmark')}""")
 add("longest_token", "benchmark", lambda d: f"""with w as ({"select item_id, pos, w from (select item_id, " + d.words("text") + " as ws from {benchmark}) t lateral view posexplode(ws) _x as pos, w" if d.name == "spark" else "select item_id, unnest(ws) as w, cast(generate_subscripts(ws, 1) - 1 as int) as pos from (select item_id, " + d.words("text") + " as ws from benchmark) t"}),
@@ -48,4 +48,4 @@ add("inversions", "lineitem", lambda d: f"""select a.l_orderkey, cast(sum(case w
 add("top_k", "orders", lambda d: f"""with r as (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from {d.t('orders')}) select o_custkey, o_orderkey, r as place from r where r <= 3""")
 add("gaps_islands", "events", lambda d: f"""with {long(d)}, f as (select *, case when lag(x % 2) over (partition by id order by pos) = x % 2 then 0 else 1 end as new from e), g as (select *, sum(new) over (partition by id order by pos rows unbounded preceding) as island from f)
 select id, cast(count(*) as bigint) as longest, cast(island as bigint) as island from g group by id, island""")
-add("clip_normalize", "part", lambda d: f"""select p_partkey, least(greatest(p_size, 10), 40) as clipped, round(p_retailprice / max(p_retailprice) over (), 6) as scaled, cast(p_size as bigint) * p_size as square, cast(floor(p_size / 7e0) as bigint) as bucket from {d.t('part')}""")
+add("clip_normalize", "part", lambda d: f"""select p_partkey, least(greatest(p_size, 10), 40) as clipped, round(p_retailprice / (select max(p_retailprice) from {d.t('part')}), 6) as scaled, cast(p_size as bigint) * p_size as square, cast(floor(p_size / 7e0) as bigint) as bucket from {d.t('part')}""")

@@ -23,9 +23,9 @@ r as (select part, id, text, row_number() over (partition by part order by id) a
 ev("q_grouping_scan", lambda d: f"""with {records(d)} select arm, task_id, cast(count(*) as bigint) as n, round(sum(-ln(greatest(best_ratio, 1e-9))), 6) as log_sum, min(seed_name) as cluster from records group by arm, task_id""")
 CATALOGUE.add("q_mined_seeds", "part", lambda d: f"""with base as (select p_partkey, p_name, p_size % 3 as n_natural from {d.t('part')}), n as (select i from {d.series(3, "i")}),
 u as (select p_partkey as seed_group, p_name as seed_name, false as only_slow from base union all select p_partkey, concat(p_name, '_nat', cast(i as varchar(5))), true from base join n on i < n_natural) select * from u""")
-CATALOGUE.add("q_token_cache_window", "documents", lambda d: f"""with t as (select doc_id, length(text) + 1 as n from {d.t('documents')}), o as (select doc_id, n, sum(n) over (order by doc_id rows unbounded preceding) - n as start from t) select doc_id, cast(start as bigint) as start, n from o where start < 40000 and start + n > 10000""")
+CATALOGUE.add("q_token_cache_window", "documents", lambda d: f"""with {d.ranked("o", f"select doc_id, length(text) + 1 as n from {d.t('documents')}", "doc_id", upto="n")} select doc_id, cast(upto - n as bigint) as start, n from o where upto - n < 40000 and upto > 10000""")
 CATALOGUE.add("q_demux_sides", "documents", lambda d: f"""select case when {d.unit("concat('rl|', source)")} < 0.4 then 'rl' else 'sft' end as side, doc_id, row_number() over (partition by case when {d.unit("concat('rl|', source)")} < 0.4 then 'rl' else 'sft' end order by doc_id) as place from {d.t('documents')}""")
-CATALOGUE.add("q_first_replies", "conversations", lambda d: f"""with {training.marked(d)}, r as (select *, row_number() over (order by conv_id, turn) as r from replies) select conv_id, turn, reply from r where r <= 200""")
+CATALOGUE.add("q_first_replies", "conversations", lambda d: f"""with {training.marked(d)}, r as (select conv_id, turn, reply from replies order by conv_id, turn limit 200) select conv_id, turn, reply from r""")
 
 # projections
 ev("q_episode_struct", lambda d: f"""with {episodes.lists(d)} select episode_id, {d.size("steps")} as n_turns, {d.join(d.map_("steps", "s", "s.kind"), ",")} as actions, {d.size(d.keep("steps", "s", "s.status = 'malformed'"))} as n_malformed from lists""")
@@ -59,10 +59,10 @@ ev("q_horizon_curve", lambda d: f"""with {episodes.lists(d)}, f as (select budge
 ev("q_sidecar_stats", lambda d: f"""with {records(d)} select cast(count(*) as bigint) as episodes, cast(sum(case when speedup >= 1.5 then 1 else 0 end) as bigint) as successes, cast(count(distinct task_id) as bigint) as tasks, cast(sum(n_edits) as bigint) as edits from records""")
 ev("q_timing_medians", lambda d: f"""with {episodes.steps(d)}, r as (select family, step, ratio, row_number() over (partition by family, step order by ratio) as r, count(*) over (partition by family, step) as n from steps where ratio is not null) select family, step, round(avg(ratio), 6) as median_ratio from r where r in (floor((n + 1) / 2), floor((n + 2) / 2)) group by family, step""")
 ev("q_group_profile", lambda d: f"""with {episodes.steps(d)}, m as (select task_id, step, avg(ratio) as v from steps where ratio is not null and step <= 3 group by task_id, step), k as (select distinct task_id from steps) select k.task_id, b.step, round(coalesce(v, 0), 6) as share from k cross join (select 1 as step union all select 2 union all select 3) b left join m on m.task_id = k.task_id and m.step = b.step""")
-CATALOGUE.add("q_ordered_limit", "orders", lambda d: f"""with j as (select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) as job from {d.t('orders')}), v as (select o_orderkey, row_number() over (order by job) as r from j where o_totalprice > 100000 and job <= 1150) select o_orderkey from v where r <= 400""")
+CATALOGUE.add("q_ordered_limit", "orders", lambda d: f"""with j as (select o_orderkey, o_totalprice from {d.t('orders')} order by o_orderkey limit 1150) select o_orderkey from j where o_totalprice > 100000 order by o_orderkey limit 400""")
 CATALOGUE.add("q_counts_descending", "part", lambda d: f"""with c as (select p_type, count(*) as n from {d.t('part')} group by p_type) select p_type, cast(n as bigint) as n, row_number() over (order by n desc, p_type) as place from c""")
 ev("q_distinct_lists", lambda d: f"""with {episodes.lists(d)}, k as (select episode_id, {d.join(d.map_("steps", "s", "s.status"), ">")} as path from lists) select path, min(episode_id) as first_seen, cast(count(*) as bigint) as n from k group by path""")
-CATALOGUE.add("q_sample_tasks", "customer", lambda d: f"""with t as (select c_custkey, row_number() over (order by {d.unit("concat('s|', cast(c_custkey as varchar(20)))")}, c_custkey) - 1 as pos, count(*) over () as n from {d.t('customer')}), picks as (select i from {d.series(64, "i")}) select i as pick, c_custkey from picks join t on pos = i % n""")
+CATALOGUE.add("q_sample_tasks", "customer", lambda d: f"""with {d.ranked("t", f"""select c_custkey, {d.unit("concat('s|', cast(c_custkey as varchar(20)))")} as draw from {d.t('customer')}""", "draw, c_custkey", "pos")}, picks as (select i, i % (select count(*) from {d.t('customer')}) + 1 as of from {d.series(64, "i")}) select i as pick, c_custkey from picks join t on pos = of""")
 ev("q_left_pad", lambda d: f"""with {records(d)}, b as (select episode_id, n_steps, max(n_steps) over (partition by family) as width from records) select episode_id, width - n_steps as pad, greatest(n_steps - 1, 0) as last_position from b""")
 ev("q_lockstep_turns", lambda d: f"""with {episodes.steps(d)} select step as turn, cast(count(*) as bigint) as active, cast(sum(case when kind = 'stop' then 1 else 0 end) as bigint) as stopped from steps group by step""")
 ev("q_beam", lambda d: f"""with {episodes.steps(d)}, r as (select task_id, episode_id, step, ratio, row_number() over (partition by task_id, step order by ratio, episode_id) as r from steps where status = 'ok' and ratio is not null) select task_id, episode_id, step, r as place from r where r <= 4""")

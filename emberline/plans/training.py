@@ -15,19 +15,19 @@ examples as (select conv_id, turn, length(text) as n_prompt, length(text) + leng
 
 CATALOGUE.add("q_sft_examples", "conversations", lambda d: f"with {examples(d)} select conv_id, turn, n_prompt, n, n - n_prompt as n_loss, n > 600 as too_long from examples")
 CATALOGUE.add("q_sft_stats", "conversations", lambda d: f"with {examples(d)} select cast(count(*) as bigint) as n, cast(sum(case when n > 600 then 1 else 0 end) as bigint) as too_long, cast(count(distinct conv_id) as bigint) as tasks from examples")
-CATALOGUE.add("q_val_split_by_task", "conversations", lambda d: f"""with {examples(d)}, tasks as (select distinct conv_id, {d.unit("concat('val|', cast(conv_id as varchar(20)))")} as draw from examples),
-ranked as (select conv_id, row_number() over (order by draw, conv_id) as r, count(*) over () as n from tasks) select conv_id, r <= case when n > 1 then greatest(1, floor(n * 0.05)) else 0 end as val from ranked""")
-CATALOGUE.add("q_length_buckets", "conversations", lambda d: f"""with {examples(d)}, shuffled as (select *, row_number() over (order by {d.unit("concat('b|', cast(conv_id as varchar(20)), '|', cast(turn as varchar(20)))")}, conv_id, turn) - 1 as pos from examples),
-chunks as (select *, floor(pos / 400) as chunk from shuffled), sorted as (select *, row_number() over (partition by chunk order by n, conv_id, turn) - 1 as r from chunks)
+CATALOGUE.add("q_val_split_by_task", "conversations", lambda d: f"""with {d.ranked("ranked", f"""with {examples(d)} select distinct conv_id, {d.unit("concat('val|', cast(conv_id as varchar(20)))")} as draw from examples""", "draw, conv_id")}, size as (select count(*) as n from ranked)
+select conv_id, r <= case when n > 1 then greatest(1, floor(n * 0.05)) else 0 end as val from ranked cross join size""")
+CATALOGUE.add("q_length_buckets", "conversations", lambda d: f"""with {d.ranked("shuffled", f"""with {examples(d)} select conv_id, turn, n, {d.unit("concat('b|', cast(conv_id as varchar(20)), '|', cast(turn as varchar(20)))")} as draw from examples""", "draw, conv_id, turn", "pos")},
+chunks as (select *, floor((pos - 1) / 400) as chunk from shuffled), sorted as (select *, row_number() over (partition by chunk order by n, conv_id, turn) - 1 as r from chunks)
 select conv_id, turn, cast(chunk as bigint) as chunk, cast(floor(r / 8) as bigint) as batch, n from sorted""")
-CATALOGUE.add("q_pad_mask", "conversations", lambda d: f"""with {examples(d)}, b as (select *, floor((row_number() over (order by n, conv_id, turn) - 1) / 8) as batch from examples)
+CATALOGUE.add("q_pad_mask", "conversations", lambda d: f"""with {d.ranked("o", f"with {examples(d)} select conv_id, turn, n, n_prompt from examples", "n, conv_id, turn")}, b as (select *, floor((r - 1) / 8) as batch from o)
 select conv_id, turn, cast(batch as bigint) as batch, cast(max(n) over (partition by batch) - 1 as int) as width, n_prompt - 1 as masked, cast(max(n) over (partition by batch) - n as int) as pad from b""")
 CATALOGUE.add("q_epoch_order", "conversations", lambda d: f"""with tasks as (select distinct conv_id from {d.t('conversations')}), e as (select epoch, conv_id, row_number() over (partition by epoch order by {d.unit("concat(cast(epoch as varchar(10)), '|', cast(conv_id as varchar(20)))")}, conv_id) - 1 as r from tasks cross join {d.series(3, "epoch")})
 select epoch, conv_id, cast(floor(r / 8) as bigint) as step from e where r < floor((select count(*) from tasks) / 8) * 8""")
 CATALOGUE.add("q_lr_schedule", "region", lambda d: f"""with s as (select step, 100 as warm, 1000 as last, 3e-4 as lr, 3e-5 as low from {d.series(1200, "step")})
 select step, round(case when step < warm then lr * (step + 1) / warm when step >= last then low else low + 0.5 * (1 + cos(pi() * cast(step - warm as double) / (last - warm))) * (lr - low) end, 10) as lr from s""")
-CATALOGUE.add("q_oversample", "documents", lambda d: f"""with pool as (select doc_id, row_number() over (order by doc_id) - 1 as pos, count(*) over () as size from {d.t('documents')} where lang = 'es'),
-jobs as (select job from {d.series(500, "job")}) select job, doc_id, {d.unit("concat('rename|', cast(job as varchar(10)))")} < 0.5 as renamed from jobs join pool on pos = job % size""")
+CATALOGUE.add("q_oversample", "documents", lambda d: f"""with {d.ranked("pool", f"select doc_id from {d.t('documents')} where lang = 'es'", "doc_id", "pos")},
+jobs as (select job, job % (select count(*) from pool) + 1 as of from {d.series(500, "job")}) select job, doc_id, {d.unit("concat('rename|', cast(job as varchar(10)))")} < 0.5 as renamed from jobs join pool on pos = of""")
 
 
 #: White space before and after a code.
