@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.arrays import LIBRARY, column
+from emberline.functions import arrays, keyed
 from emberline.operators import codeops, mutate, rewrites, sandbox, specs, tasks
 from emberline.operators.tables import kept_table
 from emberline.sources.files import standard_library
@@ -153,10 +153,11 @@ def hinted_demos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def array_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every function of the array library over each user's values and event types, in time order, as JSON."""
+    """Every function of the workload library over each user's values and event types, in time order, as JSON."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     of = F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.floor("value").cast("long") % 50 - 20).alias("x"), "event_type"))).alias("e")
-    users = events.groupBy("user_id").agg(of)
+    # A stated number of partitions: the functions cost far more than the bytes by which partitions would be put together.
+    users = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id").groupBy("user_id").agg(of)
     inputs = users.select(
         "user_id",
         F.expr("transform(e, v -> v.x)").alias("xs"),
@@ -164,6 +165,9 @@ def array_library(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("transform(e, v -> v.event_type)").alias("ts"),
         F.expr("array('view', 'error')").alias("us"),
         F.expr("transform(e, v -> struct(v.x as a, v.event_id % 7 as b))").alias("ps"),
+        F.expr("transform(e, v -> struct(v.event_id % 7 - 3 as a, v.x as b))").alias("qs"),
+        F.expr("transform(filter(e, v -> v.x > 0), v -> struct(v.event_type as k, v.x as v))").alias("ns"),
+        F.expr("array(struct('view' as k, 'seen' as v), struct('error' as k, 'failed' as v))").alias("ds"),
         F.expr("transform(sequence(0, cast((size(e) - 1) / 3 as int)), i -> slice(transform(e, v -> v.x), i * 3 + 1, 3))").alias("rows"),
         F.lit("view").alias("s"),
         F.lit("weiv").alias("s2"),
@@ -171,7 +175,7 @@ def array_library(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-5).cast("long").alias("lo"),
         F.lit(15).cast("long").alias("hi"),
     )
-    told = F.array(*(F.struct(F.lit(n).alias("function"), F.to_json(F.struct(column(n).alias("value"))).alias("result")) for n in sorted(LIBRARY)))
+    told = F.array(*(F.struct(F.lit(n).alias("function"), F.to_json(F.struct(F.expr(x).alias("value"))).alias("result")) for n, x in sorted({**arrays.LIBRARY, **keyed.LIBRARY}.items())))
     return inputs.select("user_id", F.inline(told))
 
 
