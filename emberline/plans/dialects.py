@@ -85,6 +85,38 @@ class Spark:
     def sub(self, text: str, pattern: str, to: str) -> str:
         return f"regexp_replace({text}, '{pattern}', '{to}')"
 
+    def top(self, array: str) -> str:
+        return f"array_max({array})"
+
+    def at(self, array: str, pos: str) -> str:
+        """The element at a place from 0."""
+        return f"{array}[{pos}]"
+
+    def places(self, array: str) -> str:
+        """0 to size - 1 of an array that is not empty."""
+        return f"sequence(0, size({array}) - 1)"
+
+    def cat(self, *arrays: str) -> str:
+        return f"concat({', '.join(arrays)})"
+
+    def one(self, value: str) -> str:
+        """An array of one element."""
+        return f"array({value})"
+
+    def bytes_of(self, text: str) -> str:
+        """The UTF-8 bytes of a text as two hexadecimal digits each."""
+        return f"regexp_extract_all(hex({text}), '(..)', 1)"
+
+    def number(self, digits: str) -> str:
+        return f"cast(conv({digits}, 16, 10) as int)"
+
+    def text_of(self, digits: str) -> str:
+        """The text whose UTF-8 bytes are these hexadecimal digits."""
+        return f"decode(unhex({digits}), 'utf-8')"
+
+    def fail(self, message: str) -> str:
+        return f"raise_error({message})"
+
 
 class Duck(Spark):
     name = "duckdb"
@@ -137,6 +169,33 @@ class Duck(Spark):
     def sub(self, text: str, pattern: str, to: str) -> str:
         return f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
 
+    def top(self, array: str) -> str:
+        return f"list_max({array})"
+
+    def at(self, array: str, pos: str) -> str:
+        return f"{array}[{pos} + 1]"
+
+    def places(self, array: str) -> str:
+        return f"range(0, len({array}))"
+
+    def cat(self, *arrays: str) -> str:
+        return "(" + " || ".join(arrays) + ")"
+
+    def one(self, value: str) -> str:
+        return f"[{value}]"
+
+    def bytes_of(self, text: str) -> str:
+        return f"regexp_extract_all(hex({text}), '..')"
+
+    def number(self, digits: str) -> str:
+        return f"cast('0x' || {digits} as int)"
+
+    def text_of(self, digits: str) -> str:
+        return f"decode(unhex({digits}))"
+
+    def fail(self, message: str) -> str:
+        return f"error({message})"
+
 
 def numbered(df: DataFrame, r: Ranked) -> DataFrame:
     """df with its rows' places and running sums: dealt by ranges of the order, which are written once, numbered each by itself, and moved on by what the ranges before it hold."""

@@ -218,9 +218,16 @@ add("q_rollout_metrics", lambda d: f"""with {records(d)} select arm, round(avg(l
 add("q_clip_loss", lambda d: f"""with {steps(d)}, tokens as (select episode_id, ln(ratio) as lr, case when status = 'ok' then 1e0 else -1e0 end as adv from steps where ratio > 0),
 terms as (select episode_id, exp(lr) as r, -least(exp(lr) * adv, least(greatest(exp(lr), 0.8), 1.28) * adv) + 0.01 * (exp(-lr) - (-lr) - 1) as loss from tokens)
 select round(avg(loss), 5) as token_mean, round(avg(case when r < 0.8 or r > 1.28 then 1e0 else 0e0 end), 6) as clip_frac, round(avg(-ln(r)), 6) as approx_kl from terms""")
+
+
+def judged(d: Spark, start: str = "") -> str:
+    """Each step with the best ratio before it."""
+    return f"""{start or lists(d)}, told as (select episode_id, {d.map_("steps", "s", d.struct(step="s.step", kind="s.kind", status="s.status", ratio="s.ratio", best=d.fold(d.keep("steps", "y", "y.step < s.step"), {"best": "cast(1 as double)"}, lambda a, x: {"best": f"case when {better(a, x)} then {x}.ratio else {a}.best end"}) + ".best"))} as steps from lists),
+each as ({"select episode_id, s.* from told lateral view explode(steps) _x as s" if d.name == "spark" else "select episode_id, unnest(steps, recursive := true) from told"})"""
+
+
 # The sentences of hints.
-add("q_outcome_hint", lambda d: f"""with {lists(d)}, told as (select episode_id, {d.map_("steps", "s", d.struct(step="s.step", kind="s.kind", status="s.status", ratio="s.ratio", best=d.fold(d.keep("steps", "y", "y.step < s.step"), {"best": "cast(1 as double)"}, lambda a, x: {"best": f"case when {better(a, x)} then {x}.ratio else {a}.best end"}) + ".best"))} as steps from lists),
-each as ({"select episode_id, s.* from told lateral view explode(steps) _x as s" if d.name == "spark" else "select episode_id, unnest(steps, recursive := true) from told"})
+add("q_outcome_hint", lambda d: f"""with {judged(d)}
 select episode_id, step, case when kind = 'stop' then 'stopping here is right' when status = 'malformed' then 'the next action is malformed; answer with a complete <EDIT> or <STOP>'
   when status = 'incorrect' then 'the next edit to the code changes its behaviour; it must preserve it exactly'
   when status in ('syntax_error', 'static_error', 'load_error') then 'the next edit to the code is not valid; it must be plain valid Python'

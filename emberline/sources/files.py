@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sysconfig
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: One episode of a run.
@@ -20,8 +20,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int = 0) -> D
     return lines.where(F.trim("line") != "").select("n", F.from_json("line", schema, {"allowNonNumericNumbers": "true"}).alias("r")).orderBy("n").select("r.*")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Writes rows as JSON lines and gives their number, which the writing job counts."""
+    told = Observation()
+    df.observe(told, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    return told.get["n"]
+
+
+def append_episodes(episodes: DataFrame, path: str) -> dict[str, int]:
+    """Appends episodes (method, n_invalid, steps) to what path holds: each executor writes its own and the job commits all of them or none.
+
+    Gives the counts of rows, of rows that hold a failure (an invalid edit, or one that went well and gained nothing), and of each method.
+    """
+    told = Observation()
+    failed = F.expr("coalesce(n_invalid > 0, false) or exists(steps, s -> coalesce(s.status = 'ok' and s.ratio >= 1.0, false))")
+    methods = (F.count_if(F.col("method") == m).alias(m) for m in ("programmatic", "search"))
+    seen = episodes.observe(told, F.count(F.lit(1)).alias("rows"), F.count_if(failed).alias("with_failure"), *methods)
+    seen.write.mode("append").option("ignoreNullFields", "false").json(path)
+    return dict(told.get)
 
 
 def python_files(spark: SparkSession, folder: str) -> DataFrame:
