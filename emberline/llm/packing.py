@@ -7,7 +7,8 @@ sequence that it fits, all pieces of a length at once. The plan says for each le
 at which offset; pieces get their rank from counts by hash chunk, so no length's pieces ever meet in one task.
 
 Results in special cases: a null text counts as empty and is one piece that holds the end token alone; a document
-longer than the capacity is cut into full pieces after a first one that may be shorter; equal rows are interchangeable
+longer than the capacity is cut into full pieces after a first one that may be shorter; a text with a run of white space too long for
+tiktoken is encoded by the tokenizers library; equal rows are interchangeable
 and each is placed; an empty table gives an empty one; other columns of documents are ignored, whatever their names.
 """
 
@@ -23,6 +24,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from emberline.llm.bpe import byte_alphabet
 from emberline.llm.common import small_batches, written
@@ -51,6 +53,23 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def library(path: str) -> Tokenizer:
+    out = Tokenizer.from_file(path)
+    out.no_padding()
+    out.no_truncation()
+    return out
+
+
+def encoded(enc: tiktoken.Encoding, path: str, text: str) -> bytes:
+    """The ids of a text, little-endian unsigned 32-bit."""
+    try:
+        return enc.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+    except ValueError:
+        # a run of some 500,000 white-space characters is more than tiktoken's expression engine can step back over
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def tokenized(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary: little-endian unsigned 32-bit, with `end` after the text's own) of every row."""
     small_batches(docs.sparkSession)
@@ -58,7 +77,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoding(path), np.array([end], "<u4").tobytes()
         for batch in batches:
-            ids = [enc.encode_to_numpy(t or "", allowed_special="all").astype("<u4").tobytes() + last for t in batch.column(1).to_pylist()]
+            ids = [encoded(enc, path, t or "") + last for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

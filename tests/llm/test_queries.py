@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import re
 import struct
 import zlib
@@ -38,6 +39,8 @@ def odd(spark, tmp_path_factory):
     for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("pages", pages, "page_id long, url string, html string"), ("conversations", turns, "conv_id long, turn long, role string, text string"), ("labels", labels, "doc_id long, quality int, toxic int")):
         df = spark.createDataFrame(rows, schema)
         df = df.withColumns({c: F.lit(c) for c in CLASH}) if name != "labels" else df
+        if name == "documents":
+            df = df.withColumns({"lang": F.when(F.col("doc_id") % 3 > 0, "en"), "source": F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("s"), F.col("doc_id") % 5))})
         df.write.parquet(f"{folder}/{name}.parquet")
         df.limit(0).write.parquet(f"{nothing}/{name}.parquet")
     return folder, nothing
@@ -71,18 +74,23 @@ def test_op1(spark, odd):
 
 def test_op1_scores_are_those_of_plain_code():
     rng = np.random.default_rng(4)
-    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), -0.3, 1.7, 0.2)
+    weights = rng.normal(size=toxicity.BUCKETS).astype(np.float32)
+    weights[rng.random(toxicity.BUCKETS) < 0.1] = np.nan
+    model = toxicity.Model(weights, -0.3, (-1.0, 0.0, 0.5), (0.1, 0.2, 0.9))
     for text in ["one", "two words", "Same same SAME other", " ".join(f"w{k % 50}" for k in range(301)), "İstanbul 𝄞 é"]:
         found = [w for w, _ in itertools.groupby(re.findall(r"[^\W_]+", text.lower()))]
 
         def of(word):
             marked = f"<{word}>"
             grams = [marked] + [marked[i : i + k] for k in range(3, 7) for i in range(len(marked) - k + 1)]
-            return sum(float(model.weights[zlib.crc32(g.encode()) % toxicity.BUCKETS]) for g in grams) / len(grams)
+            own = [w for g in grams if (w := float(model.weights[zlib.crc32(g.encode()) % toxicity.BUCKETS])) == w]
+            return sum(own) / len(own) if own else model.base
 
-        starts = [0] if len(found) <= 24 else [12 * k for k in range(math.ceil((len(found) - 24) / 12) + 1)]
-        best = max(sum(map(of, found[s : s + 24])) / len(found[s : s + 24]) for s in starts)
-        assert math.isclose(model.score(text), 1 / (1 + math.exp(-(1.7 * (best - 0.3) + 0.2))), rel_tol=1e-6)
+        size, step = toxicity.WINDOW, toxicity.STRIDE
+        starts = [0] if len(found) <= size else [step * k for k in range(math.ceil((len(found) - size) / step) + 1)]
+        best = max(sum(map(of, found[s : s + size])) / len(found[s : s + size]) for s in starts)
+        share = 0.1 if best <= -1 else 0.9 if best >= 0.5 else 0.1 + 0.1 * (best + 1) if best < 0 else 0.2 + 1.4 * best
+        assert math.isclose(model.score(text), 0.98 * share + 0.02 / (1 + math.exp(-best)), rel_tol=1e-6)
 
 
 def test_op2(spark, odd):
@@ -128,19 +136,25 @@ def test_media_fragments_and_hostile_files(spark):
     assert all(out[k].error and out[k].payload is None for k in (1, 2, 3))
 
 
-def test_op3_and_op7_equal_their_sql(spark, odd):
-    for folder in (odd[0].removeprefix("file://"), "/root/testdata/sf0.001"):
-        con = duckdb.connect()
-        for name in ("pages", "conversations"):
-            parts = f"{folder}/{name}.parquet" + ("/*.parquet" if folder.startswith("/tmp") else "")
-            con.execute(f"create view {name} as select * from read_parquet('{parts}')" if folder.endswith("sf0.001") else f"create view {name} as select distinct on (page_id, html) * from read_parquet('{parts}')" if name == "pages" else f"create view {name} as select * from read_parquet('{parts}') where conv_id is not null")
-        for name in ("op3_warc", "op7_chat_formatting"):
-            if folder.startswith("/tmp") and name == "op3_warc":
-                continue  # equal rows are compared below
-            got = QUERIES[name](spark, f"file://{folder}").where("conv_id is not null" if name.startswith("op7") else "true")
-            cur = con.execute(SQL[name])
-            names = [c[0] for c in cur.description]
-            assert sorted(map(str, got.select(*names).toPandas().astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None))) == sorted(map(str, (tuple(r) for r in cur.df().astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None))))
+def test_op7_equals_its_sql_on_odd_rows(spark, odd):
+    equal_to_sql(spark, "op7_chat_formatting", odd[0], where="conv_id is not null")
+
+
+@pytest.mark.parametrize("name", SQL)
+def test_sql(spark, name):
+    equal_to_sql(spark, name, "file:///root/testdata/sf0.001")
+
+
+def equal_to_sql(spark, name, folder, where="true"):
+    """The query and its SQL give the same rows, as tuples of the same types."""
+    con, local = duckdb.connect(), folder.removeprefix("file://")
+    for t in ("documents", "labels", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{local}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{local}/{t}.parquet') else ''}')" + (f" where {where}" if t == "conversations" else ""))
+    cur = con.execute(SQL[name])
+    names = [c[0] for c in cur.description]
+    got = QUERIES[name](spark, folder)
+    assert set(names) <= set(got.columns)
+    assert Counter(map(tuple, got.where(where).select(*names).collect())) == Counter(cur.fetchall())
 
 
 def test_op3(spark, odd):

@@ -2,8 +2,10 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -109,6 +111,16 @@ def test_quality_list_learns_and_is_native(spark):
     assert quality.learn(quality.labelled(d, labels.limit(0))) == []
 
 
+def test_packing_tokens_of_texts_that_overflow_an_expression_engine(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [" " * 1_000_001, "\n" * 2_000_000, "a" + " \n" * 500_000 + "b", "z" * 5_000_000, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.tokenized(d, path).collect():
+        expected = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == [*expected, 0]
+
+
 def test_toxicity_finds_unseen_spellings(spark):
     clean = [f"the quiet river {w} runs along the old road to town" for w in "abcdefghijklmnopqrstuvwxyz"] * 8
     toxic = [f"the quiet river {w} runs you horribleword along the old road" for w in "abcdefghijklmnopqrstuvwxyz"] * 8
@@ -122,6 +134,33 @@ def test_toxicity_finds_unseen_spellings(spark):
     assert [r.score for r in toxicity.scored(d, None).collect()] == [0.0, 0.0]
 
 
+def test_toxicity_of_texts_without_evidence_is_near_the_base_rate():
+    rng = np.random.default_rng(4)
+    made = ["".join(rng.choice([*"bdfglmnprt"], 6)) for _ in range(400)]
+    clean = [" ".join(rng.choice(made, 30)) for _ in range(300)]
+    toxic = [f"{' '.join(rng.choice(made, 20))} horribleword {' '.join(rng.choice(made, 9))}" for _ in range(60)]
+    texts, y = clean + toxic, [0] * 300 + [1] * 60
+    model = toxicity.calibrated(toxicity.train(texts[::2], y[::2], texts[1::2], y[1::2]), texts[1::2], y[1::2])
+    for text in (None, "", " \n", "!!", "Xqzw vbnm kjhg", "\u65e5\u672c\u8a9e"):
+        assert model.score(text) < 0.3
+    assert model.score("so horribleword it is") > 0.5 and abs(model.score("") - 1 / 6) < 0.05
+    both = toxicity.averaged(model, model)
+    assert both.score(texts[0]) == model.score(texts[0])
+
+
+def test_toxicity_of_a_very_long_word_takes_little_memory():
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32))
+    for word in ("x" * 1_000_000, "\u00e9" * 300_000):
+        tracemalloc.start()
+        model.score(word)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+        tracemalloc.stop()
+
+
+def test_toxicity_area():
+    assert toxicity.area(np.array([1.0, 2, 2, 3]), np.array([0, 0, 1, 1])) == 0.875
+
+
 def test_toxicity_never_learns_held_out_rows(spark):
     d = spark.range(40).select(F.col("id").alias("doc_id"))
     import zlib
