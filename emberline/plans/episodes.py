@@ -205,8 +205,6 @@ add("q_paired_ci", lambda d: "with " + bootstrap(d, f"""{compared(d)}, clusters
 add("q_feedback_gain", lambda d: f"""with {records(d)}, cells as (select family, arm, avg(case when speedup >= 1.05 then 1e0 else 0e0 end) as success, exp(avg(log_speedup)) as gm, avg(cast(n_edits as double)) as edits from records group by family, arm)
 select a.family, round(a.success - b.success, 6) as delta_success_rate, round(a.gm - b.gm, 6) as delta_gm_speedup, round(a.edits - b.edits, 6) as delta_mean_edits, round(a.gm / greatest(b.gm, 1e-9), 6) as ratio_gm_speedup
 from cells a join cells b on a.family = b.family where a.arm = 1 and b.arm = 0""")
-add("q_localization", lambda d: f"""with {steps(d)}, edits as (select episode_id, status, row_number() over (partition by episode_id order by step) as k, case when ratio < 1 then 1 else 0 end as hit from steps where kind = 'edit')
-select k, cast(count(*) as bigint) as n, round(avg(cast(hit as double)), 6) as slow_rate, round(avg(case when status = 'ok' then 1e0 else 0e0 end), 6) as correct_rate from edits group by k having count(*) >= 20""")
 add("q_rft_select", lambda d: f"""with {records(d)}, keyed as (select r.*, concat(cast(n_edits as varchar(10)), '/', cast(n_correct as varchar(10))) as edits from records r where speedup >= 1.5 and n_correct > 0),
 ranked as (select *, row_number() over (partition by task_id, edits order by speedup desc, episode_id) as copy from keyed), best as (select *, row_number() over (partition by task_id order by speedup desc, episode_id) as place from ranked where copy = 1)
 select task_id, episode_id, edits, round(speedup, 6) as speedup, place from best where place <= 2""")
