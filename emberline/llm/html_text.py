@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. Menus, headers, footers, sidebars, notices, adverts, forms, comments and the like
 are told by their element, role, or a word of their class or id; scripts, styles and other contents that aren't text are dropped. The
-first pass decides on the remaining blocks by stop-word density, length and link density; short ones stay ambiguous.
+first pass decides on the remaining blocks by stop-word density, length and link density; short ones stay ambiguous. Names that
+may be a topic, as compounds with a word of their own, yield to the density of a long block.
 The second pass lets those inherit the label of the nearest decided neighbours. A marked article (article, main, role=main,
 itemprop=articleBody) is evidence: inside it a block needs less to be good and none but links can make it bad, and blocks outside are bad as
 long as some block inside is good. Names that a main part may bear, too, never empty a page: where no block is left, those that only such names told are judged like others.
@@ -47,7 +48,9 @@ BLOCK_TAGS = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER_TAGS = frozenset("article aside blockquote body details dialog dir div dl fieldset figure footer form head header html li main menu nav ol search section table tbody td tfoot thead tr ul".split())
-RAW_TAGS = frozenset("script style noscript template textarea title iframe noembed noframes applet svg canvas audio video select button datalist map xmp".split())
+RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp".split())
+# Elements whose contents are a control or stand for what isn't shown: dropped where they are closed; a tag that nothing closes is markup alone.
+INSET_TAGS = frozenset("template applet svg canvas audio video select button datalist".split())
 REGIONS = frozenset("article main footer nav aside".split())
 WITHIN = frozenset("div section li ul ol td tr".split())
 BOILER_TAGS = frozenset("head nav footer aside form menu dialog search".split())
@@ -63,12 +66,21 @@ BOILER_NAMES = frozenset(
 MODIFIERS = frozenset("has no not non with without is overflow hide show".split())
 #: Names that a page's main part may bear, too.
 SOFT_NAMES = frozenset("search legal share social related recommended recommendations hidden sidebar widget widgets header skip copyright promo promotion banner overlay modal popup alert notice masthead".split())
+#: Soft names that say the least.
+PLAIN_NAMES = frozenset({"alert", "widget", "widgets"})
 #: Names that tell boilerplate outside an article alone: inside, they are often its own parts.
 OUTSIDE_NAMES = frozenset({"header"})
 
+#: Words that such a compound ends in, or begins with, where it names a part of the page and not what the part is about.
+PARTS = frozenset(
+    "area areas bar bars block blocks body bottom box boxes btn button buttons col column container content center close desktop form frame group head holder icon icons id inner item items label left "
+    "line link links list lists logo main message mobile module msg nav outer page pane panel post posts primary right row secondary section sections site slot small social stories strip sub tab text thread "
+    "title toggle top unit view wrap wrapper wide widget zone".split()
+)
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.30
 MOST_LINKS, ARTICLE_LINKS = 0.33, 0.8
+NAMED_LINKS = 0.05
 #: Stop-word density of a page's long blocks under which its language isn't one of STOP_WORDS.
 FOREIGN = 0.12
 
@@ -81,7 +93,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Block:
-    """A block of text; boiler: what told it ("name", another reason, or ""); label is good, bad, or near or short until the second pass has decided."""
+    """A block of text; boiler: what told it ("name", "about", another reason, or ""); label is good, bad, or near or short until the second pass has decided."""
 
     text: str
     link_chars: int
@@ -99,7 +111,7 @@ def attributes(source: str) -> dict[str, str]:
 
 
 def _boiler(tag: str, attrs: dict[str, str], in_article: bool) -> str:
-    """Why an element isn't part of the article: "sure", "name" where only a soft name says so, "" if nothing does."""
+    """Why an element isn't part of the article: "sure", "name" where only a soft name says so, "about" where a name may be a topic, "" if nothing does; the first of these is the greatest."""
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
         return "sure"
     if attrs.get("role", "").lower() in BOILER_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
@@ -107,15 +119,19 @@ def _boiler(tag: str, attrs: dict[str, str], in_article: bool) -> str:
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return "sure"
     told = {_named(x, in_article) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()}
-    return "sure" if "sure" in told else "name" if "name" in told else ""
+    return max(told, default="")
 
 
 def _named(token: str, in_article: bool) -> str:
     """Whether a class or id is one of the names, or a compound that begins or ends with one (cookie-notice, sidebarLeft, post-comments): "name" if soft ones alone say so."""
     names = BOILER_NAMES if in_article else BOILER_NAMES | OUTSIDE_NAMES
     parts = [x.lower() for x in NAME_PARTS.findall(token)]
-    told = {token.lower()} & names or (set() if not parts or MODIFIERS & {*parts} else {parts[0], parts[-1]} & names)
-    return "" if not told else "name" if told <= SOFT_NAMES else "sure"
+    if whole := {token.lower()} & names:
+        return "about" if whole <= PLAIN_NAMES else "name" if whole <= SOFT_NAMES else "sure"
+    told = set() if not parts or MODIFIERS & {*parts} else {parts[0], parts[-1]} & names
+    # a compound with a word of its own says what its text is about as well as that it is boilerplate (ad-lib, menu-item-desc)
+    own = [x for x in parts if x not in names and x not in PARTS and len(x) > 2]
+    return "" if not told else "about" if parts[0] in told and parts[-1] in own else "name" if told <= SOFT_NAMES else "sure"
 
 
 def blocks(page: str) -> list[Block]:
@@ -127,6 +143,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[tuple[str, bool]] = []
     links, tag_now, inline_boiler, own_boiler = 0, "", "", ""
     lower: str | None = None
+    ends: dict[str, int] = {}  # where no end tag of these follows any more
 
     def flush() -> None:
         nonlocal parts
@@ -151,12 +168,18 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         closing, tag = m[1] == "/", m[2].lower()
-        if tag in RAW_TAGS:
-            if not closing and not m[3].endswith("/"):
+        if tag in RAW_TAGS or tag in INSET_TAGS:
+            if not closing and not (m[3].endswith("/") and tag not in RAW_TAGS):
                 lower = lower if lower is not None else _ascii_lower(page)
-                end = lower.find(f"</{tag}", at)
+                end = lower.find(f"</{tag}", at) if at < ends.get(tag, n) else -1
                 close = page.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else n
+                if end < 0:
+                    ends[tag] = at
+                if tag in RAW_TAGS:
+                    at = close + 1 if close >= 0 else n
+                # another one that begins before the end has it, so this one was never closed
+                elif close >= 0 and lower.find(f"<{tag}", at, end) < 0:
+                    at = close + 1
             if tag in ("select", "button", "textarea", "title"):
                 parts.append((" ", False))
             continue
@@ -196,7 +219,7 @@ def blocks(page: str) -> list[Block]:
         marked = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
         if marked and why == "form":
             why = ""  # some pages are one form
-        if why in ("", "name") and tag not in ("html", "body") and not (marked and tag in ("article", "main")) and (told := _boiler(tag, attrs, article)):
+        if why in ("", "name", "about") and tag not in ("html", "body") and not (marked and tag in ("article", "main")) and (told := _boiler(tag, attrs, article)):
             why = tag if tag in ("head", "form") else told if not why else max(why, told)
         open_.setdefault(tag, []).append(len(stack))
         if tag in REGIONS:
@@ -211,8 +234,11 @@ def _ascii_lower(page: str) -> str:
 
 
 def classify(found: list[Block]) -> list[Block]:
-    """Labels every block good or bad."""
-    for trusted in (("sure", "head", "form", "name"), ("sure", "head", "form")):
+    """Labels every block good or bad. Density overrules a name that may be a topic on long blocks rich in stop words and with hardly a link."""
+    for b in found:
+        if b.boiler == "about" and len(b.text) > 2 * LENGTH_LOW and b.link_chars <= NAMED_LINKS * len(b.text) and stop_density(b.text) >= STOP_HIGH:
+            b.boiler = ""
+    for trusted in (("sure", "head", "form", "name", "about"), ("sure", "head", "form")):
         for only_article in (True, False):
             left = [b for b in found if b.boiler not in trusted and (b.article or not only_article)]
             for b in found:
@@ -221,7 +247,7 @@ def classify(found: list[Block]) -> list[Block]:
             _inherit(left)
             if any(b.label == "good" for b in left):
                 return found
-        if not any(b.boiler == "name" for b in found):
+        if not any(b.boiler in ("name", "about") for b in found):
             break
     return found
 

@@ -254,3 +254,41 @@ def test_plan_is_sound():
             assert [p for p, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))]
             assert sum(n for _, n in places) <= capacity
         assert plan.sequences >= math.ceil(sum(k * v for k, v in counts.items()) / capacity)
+
+
+PROSE = "<p>The house that we have seen was on the hill and it is the one that they had in the year when he was there with her for a while, and so it has been.</p>" * 3
+FIRST = "<div><p>" + "It is the first of the blocks and that is what we have here, for the reader who was in the house with all of them and then went out to the road. " * 3 + "</p></div>"
+
+
+@pytest.mark.parametrize("tag", "button select video audio canvas map svg noscript template datalist".split())
+def test_html_after_an_unclosed_element_stays(tag):
+    page = f"<body>{FIRST}<{tag}>{PROSE}<p>And the end of it, as we said in the first of the lines that were here.</p></body>"
+    plain = html_text.main_text(page.replace(f"<{tag}>", ""))
+    assert html_text.main_text(page) == plain and "And the end of it" in plain
+    if tag not in ("map", "noscript"):
+        assert html_text.main_text(page.replace("</body>", f"<p>x</p><{tag}>a control that is not the text</{tag}></body>")) == html_text.main_text(page.replace("</body>", "<p>x</p></body>"))
+
+
+@pytest.mark.parametrize("tag", "script style textarea title iframe xmp noembed noframes".split())
+def test_html_elements_of_raw_text_hold_what_follows(tag):
+    assert html_text.main_text(f"<body>{FIRST}<{tag}>{PROSE}</body>") == html_text.main_text(f"<body>{FIRST}</body>")
+    assert html_text.main_text(f"<body>{FIRST}<{tag}>{PROSE}</{tag}>{PROSE}</body>") == html_text.main_text(f"<body>{FIRST}{PROSE}</body>")
+
+
+@pytest.mark.parametrize("name", "related-work share-price social-history legal-theory notice-board alert widget menu-item-desc ad-lib notification-theory".split())
+def test_html_density_overrules_names_that_may_be_topics(name):
+    assert html_text.main_text(f"<body>{FIRST}<div class='{name}'>{PROSE}</div></body>") == html_text.main_text(f"<body>{FIRST}{PROSE}</body>")
+    assert html_text.main_text(f"<body>{FIRST}<div class='{name}'><p>Buy now</p></div></body>") == html_text.main_text(f"<body>{FIRST}</body>")
+
+
+@pytest.mark.parametrize("name", "cookie-notice sidebarLeft sidebar post-comments comments related-posts newsletter-signup ad-slot footer-links notice".split())
+def test_html_names_of_parts_hold_whatever_the_density(name):
+    assert html_text.main_text(f"<body>{FIRST}<div class='{name}'>{PROSE}</div></body>") == html_text.main_text(f"<body>{FIRST}</body>")
+
+
+def test_html_many_unclosed_elements_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text("<button>x" * 100_000 + "<select>" * 50_000)
+    assert time.perf_counter() - began < 20
