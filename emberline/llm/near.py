@@ -7,8 +7,8 @@ and one above it with a smaller one. Whole shingle sets decide: within each comp
 similarity, in blocks of bounded size, and only a spanning forest of the links found is emitted. So no row stands for a pair of copies, a pair
 below 0.8 is never linked, and a pair above it is lost only where neither it nor any chain of candidates joins its texts.
 
-Texts of at most five shingles are too short for the bits' law: of a text of five and one that lacks one of its shingles (0.8) the bits differ
-more often, and about a third of such pairs is missed.
+Sets of few shingles are too short for the bits' law, so those of at most SHORT are compared exactly, by their class numbers: two of them that differ are similar only if one is the
+other without a shingle, and each set of five to SHORT shingles lists the classes that it would be in without one of its own.
 
 Results in special cases: null texts and texts without words are copies of each other; equal sets are one class from the start; rows that
 share an id are told apart by their texts; a null id has a null component; an empty table gives an empty one; other columns are
@@ -32,6 +32,8 @@ from emberline.llm.simhash import SEED, bits_of, likely_probes, links, mixed, sh
 
 WIDTH, WORDS = 5, 16
 SIMILARITY, MISS = 0.8, 0.01
+#: Shingles of the larger set of a pair up to which one shingle is all that may differ: 7 of 9 are below SIMILARITY.
+SHORT = 8
 #: Words of a fingerprint that candidates are compared by, and the bits of them that may differ: 3 standard deviations above what is expected at SIMILARITY.
 CARRIED = 4
 #: Shingles of a block of texts that are compared in one task.
@@ -61,18 +63,24 @@ def class_of(found: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def without_one(found: np.ndarray) -> list[int]:
+    """The classes of a short set without one of its shingles, where that is similar to it."""
+    n = len(found)
+    return [class_of(np.delete(found, i)) for i in range(n)] if n <= SHORT and n - 1 >= SIMILARITY * n - 1e-9 else []
+
+
 def signatures(texts: DataFrame) -> DataFrame:
-    """(id, c: class, n: shingles, fp, fp1 ...) of every row of (id, text)."""
+    """(id, c: class, n: shingles, less: see without_one, fp, fp1 ...) of every row of (id, text)."""
     names = word_columns(WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
             fps = np.array([[bits_of(s if not k else mixed(s, k)) for k in range(WORDS)] for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-            told = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *told, *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WORDS))], names=["id", "c", "n", *names])
+            told = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([without_one(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *told, *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(WORDS))], names=["id", "c", "n", "less", *names])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, c long, n int, " + ", ".join(f"{x} long" for x in names))
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, c long, n int, less array<long>, " + ", ".join(f"{x} long" for x in names))
 
 
 def marked_ids(ids: DataFrame) -> np.ndarray:
@@ -184,12 +192,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(signatures(texts))
     names = word_columns(WORDS)
     # the rows of a class have all but the id in common
-    classes = written(signed.groupBy(F.col("c").alias("node")).agg(F.min("id").alias("id"), *(F.first(x).alias(x) for x in ("n", *names))))
+    classes = written(signed.groupBy(F.col("c").alias("node")).agg(F.min("id").alias("id"), *(F.first(x).alias(x) for x in ("n", "less", *names))))
     prints = classes.select(*names, "node")
     probes = likely_probes(prints, names, differing_rate(SIMILARITY), MISS)
     candidates = components(links(prints, radius(SIMILARITY, CARRIED), probes, CARRIED))
     members = written(candidates.withColumnRenamed("component", "comp").join(classes.select("node", "id", "n"), "node"))
-    found = components(verified(members, sets_of(texts, members.select("id"))))
+    short = classes.where(F.size("less") > 0).select(F.col("node").alias("a"), F.explode("less").alias("b"))
+    short = short.join(classes.where(F.col("n") < SHORT).select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+    found = components(verified(members, sets_of(texts, members.select("id"))).unionByName(short))
     labelled = classes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("id").alias("component"))
     of = labelled.join(least, "comp").select(F.col("node").alias("c"), "component")

@@ -253,6 +253,31 @@ def test_recall_at_a_similarity(spark, similarity):
     assert set(found) <= set(exact) and len(found) >= 0.95 * len(exact)
 
 
+def test_no_link_of_short_texts_is_lost(spark):
+    """Texts of up to nine shingles, each with some that lack one or have another: components are those of all pairs where no set is larger than SHORT."""
+    rng, texts = random.Random(11), []
+    for k in range(60):
+        words = [f"w{k}_{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 13))]
+        texts += [" ".join(words), " ".join(words[1:]), " ".join(words[:-1]), " ".join([*words, "more"]), " ".join(words[:-2])]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a - a % 5, a):
+            if max(len(near_copies.shingle_set(texts[i])) for i in (a, b)) <= near_copies.SHORT and jaccard(texts[a], texts[b]) >= 0.8:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r.doc_id: r.component for r in near_copies.near_duplicates(d).collect()}
+    assert all(of[i] == of[find(i)] for i in range(len(texts)))
+    assert sum(find(i) != i for i in range(len(texts))) > 60
+    assert all(jaccard(texts[2], texts[2 + 5 * k]) == 0 and of[2] != of[2 + 5 * k] for k in range(1, 60))
+
+
 def test_pipeline_runs_on_small_tables(spark):
     import corpus_pipeline
 
