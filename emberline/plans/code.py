@@ -179,8 +179,10 @@ def array_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.select("user_id", F.inline(told))
 
 
-QUERIES = {
-    "q_fn_library": array_library,
+QUERIES = {"q_fn_library": array_library}
+
+#: Read no given table but snippets and the interpreter's own library, so they are no part of the catalogue.
+DEMONSTRATIONS = {
     "q_mine_stdlib": mine_stdlib,
     "q_mining_funnel": mining_funnel,
     "q_accepted": accepted,

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.exact_quantile import upper_median
 from emberline.operators.tables import kept_table
 
 
@@ -21,11 +22,25 @@ class Ranked:
     sums: dict[str, str]
 
 
+@dataclass
+class Medians:
+    """The upper median of a value by group."""
+
+    select: str
+    group: str
+    value: str
+
+
 class Spark:
     name = "spark"
 
     def __init__(self) -> None:
-        self.ahead: dict[str, Ranked] = {}
+        self.ahead: dict[str, Ranked | Medians] = {}
+
+    def medians(self, alias: str, select: str, group: str, value: str) -> str:
+        """A table expression `alias` (group, n, median): of n values in ascending order the one at n // 2, from 0. Groups of any size: Spark narrows ranges ahead."""
+        self.ahead[alias] = Medians(select, group, value)
+        return f"{alias} as (select * from {{{alias}}})"
 
     def ranked(self, alias: str, select: str, order: str, rank: str = "r", **sums: str) -> str:
         """A table expression `alias`: rows of select with their place in `order` and, by name, running sums that include their own row.
@@ -125,6 +140,10 @@ class Duck(Spark):
         more = "".join(f", sum({x}) over (order by {order} rows unbounded preceding) as {name}" for name, x in sums.items())
         return f"{alias} as (select *, row_number() over (order by {order}) as {rank}{more} from ({select}) x)"
 
+    def medians(self, alias: str, select: str, group: str, value: str) -> str:
+        placed = f"select {group}, {value}, row_number() over (partition by {group} order by {value}) - 1 as i, count({value}) over (partition by {group}) as n from ({select}) x where {value} is not null"
+        return f"{alias} as (select {group}, n, {value} as median from ({placed}) y where i = n // 2)"
+
     def t(self, table: str) -> str:
         return table
 
@@ -227,7 +246,8 @@ class Catalogue:
             d = Spark()
             whole = text(d)
             for alias, r in d.ahead.items():
-                frames[alias] = numbered(spark.sql(r.select, **frames), r)
+                of = spark.sql(r.select, **frames)
+                frames[alias] = upper_median(of, r.group, r.value) if isinstance(r, Medians) else numbered(of, r)
             return spark.sql(whole, **frames)
 
         self.queries[name] = run

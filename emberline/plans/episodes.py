@@ -68,7 +68,7 @@ def lists(d: Spark) -> str:
 def records(d: Spark) -> str:
     """One row per episode, with what the fold over all its steps gives."""
     return f"""{lists(d)}, folded as (select *, {best(d)} as f from lists), records as (
-  select episode_id, task_id, seed_name, family, arm, n_steps, n_edits, n_invalid, n_correct, stopped, cast(2 as double) as reference_speedup,
+  select episode_id, task_id, seed_name, family, arm, n_steps, n_edits, n_invalid, n_correct, stopped, 0.6e0 + (task_id % 8) / 4e0 as reference_speedup,
     f.best as best_ratio, f.improved as n_improved, f.last_at as last_improved, f.recovered as recovered,
     1 / greatest(f.best, 1e-9) as speedup, ln(1 / greatest(f.best, 1e-9)) as log_speedup
   from folded
@@ -107,9 +107,10 @@ def metrics(d: Spark, key: str, families: bool = False) -> str:
     """Episode-grain and step-grain aggregates, and the upper median, joined on the group key. families: the keys of an episode are its families, each once."""
     more = ", fam as (select distinct episode_id, fam from (select episode_id, family as fam from records union all select episode_id, task_id % 3 from records) x)" if families else ""
     with_key = lambda t: f"{t} join fam on {t}.episode_id = fam.episode_id" if families else t
-    return f"""with {records(d)}{more}, a as (select {key} as k, {METRICS}, round(percentile_disc(0.5) within group (order by speedup desc), 6) as median_speedup from {with_key("records")} group by {key}),
+    values = f"with {records(d)}{more} select {key} as k, speedup from {with_key('records')}"
+    return f"""with {d.medians("m", values, "k", "speedup")}, {records(d)}{more}, a as (select {key} as k, {METRICS} from {with_key("records")} group by {key}),
 b as (select {key} as k, {STEP_METRICS} from {with_key("steps")} group by {key})
-select a.*, b.edit_correct_rate, b.first_edit_correct_rate, b.slower_edit_rate, b.malformed_rate from a join b on a.k = b.k"""
+select a.*, round(m.median, 6) as median_speedup, b.edit_correct_rate, b.first_edit_correct_rate, b.slower_edit_rate, b.malformed_rate from a join b on a.k = b.k join m on a.k = m.k"""
 
 
 add("q_episode_metrics", lambda d: metrics(d, "arm"))
@@ -126,18 +127,18 @@ SUCCESS, COMPLETE = 1.5, 0.8
 
 def per_task(d: Spark) -> str:
     """task values of two runs: arm 0 as a multi-turn run cut at the budget, arm 1 as independent samples of which the best of `budget` is expected."""
-    return f"""{records(d)}, runs as (select budget, task_id, seed_name, {best(d, "budget")} as f from lists cross join {BUDGETS} where arm = 0),
+    return f"""{records(d)}, runs as (select budget, task_id, seed_name, 0.6e0 + (task_id % 8) / 4e0 as reference_speedup, {best(d, "budget")} as f from lists cross join {BUDGETS} where arm = 0),
 multi as (
   select 'multi' as run, budget, task_id, seed_name, avg(case when 1 / greatest(f.best, 1e-9) >= {SUCCESS} then 1.0D else 0.0D end) as success,
-    avg(case when 1 / greatest(f.best, 1e-9) >= {COMPLETE} * 2 then 1.0D else 0.0D end) as complete, avg(ln(1 / greatest(f.best, 1e-9))) as log_speedup, avg(cast(f.used as double)) as edits_used
+    avg(case when 1 / greatest(f.best, 1e-9) >= {COMPLETE} * reference_speedup then 1.0D else 0.0D end) as complete, avg(ln(1 / greatest(f.best, 1e-9))) as log_speedup, avg(cast(f.used as double)) as edits_used
   from runs group by budget, task_id, seed_name
 ), ranked as (
-  select task_id, seed_name, speedup, row_number() over (partition by task_id order by speedup, episode_id) - 1 as i, count(*) over (partition by task_id) as n from records where arm = 1
+  select task_id, seed_name, speedup, reference_speedup, row_number() over (partition by task_id order by speedup, episode_id) - 1 as i, count(*) over (partition by task_id) as n from records where arm = 1
 ), weighted as (
   select r.*, budget, case when budget > n or i < budget - 1 then 0.0D else cast(budget as double) / n * case when budget = 1 then 1.0D else {product("i", "n", "budget")} end end as w
   from ranked r cross join {BUDGETS}
 ), best_of as (
-  select 'one_shot' as run, budget, task_id, seed_name, sum(w * case when speedup >= {SUCCESS} then 1.0D else 0.0D end) as success, sum(w * case when speedup >= {COMPLETE} * 2 then 1.0D else 0.0D end) as complete,
+  select 'one_shot' as run, budget, task_id, seed_name, sum(w * case when speedup >= {SUCCESS} then 1.0D else 0.0D end) as success, sum(w * case when speedup >= {COMPLETE} * reference_speedup then 1.0D else 0.0D end) as complete,
     sum(w * ln(speedup)) as log_speedup, cast(budget as double) as edits_used
   from weighted where n >= budget group by budget, task_id, seed_name
 ), common as (select task_id from multi intersect select task_id from records where arm = 1), task_values as (

@@ -22,7 +22,7 @@ chunks as (select *, floor((pos - 1) / 400) as chunk from shuffled), sorted as (
 select conv_id, turn, cast(chunk as bigint) as chunk, cast(floor(r / 8) as bigint) as batch, n from sorted""")
 CATALOGUE.add("q_pad_mask", "conversations", lambda d: f"""with {d.ranked("o", f"with {examples(d)} select conv_id, turn, n, n_prompt from examples", "n, conv_id, turn")}, b as (select *, floor((r - 1) / 8) as batch from o)
 select conv_id, turn, cast(batch as bigint) as batch, cast(max(n) over (partition by batch) - 1 as int) as width, n_prompt - 1 as masked, cast(max(n) over (partition by batch) - n as int) as pad from b""")
-CATALOGUE.add("q_lr_schedule", "region", lambda d: f"""with s as (select step, 100 as warm, 1000 as last, 3e-4 as lr, 3e-5 as low from {d.series(1200, "step")})
+CATALOGUE.add("q_lr_schedule", "conversations", lambda d: f"""with {d.ranked("o", f"select conv_id, turn, role, text from {d.t('conversations')}", "conv_id, turn, role, text", "r")}, s as (select distinct cast(floor((r - 1) / 8) as bigint) as step, 100 as warm, 1000 as last, 3e-4 as lr, 3e-5 as low from o)
 select step, round(case when step < warm then lr * (step + 1) / warm when step >= last then low else low + 0.5 * (1 + cos(pi() * cast(step - warm as double) / (last - warm))) * (lr - low) end, 10) as lr from s""")
 CATALOGUE.add("q_oversample", "documents", lambda d: f"""with {d.ranked("pool", f"select doc_id from {d.t('documents')} where lang = 'es'", "doc_id", "pos")},
 jobs as (select job, job % (select count(*) from pool) + 1 as of from {d.series(500, "job")}) select job, doc_id, {d.unit("concat('rename|', cast(job as varchar(10)))")} < 0.5 as renamed from jobs join pool on pos = of""")
@@ -66,7 +66,7 @@ select p_brand, p_type, cast(score as bigint) as score, r as place from r where
 CATALOGUE.add("q_ranked_combos", "part", lambda d: f"""with s as (select p_brand, p_type, sum(p_size) as score, min(p_partkey) as first_seen from {d.t('part')} group by p_brand, p_type), g as (select p_brand, p_type, row_number() over (partition by p_brand order by score desc, first_seen) - 1 as r from s),
 c as (select a.p_brand, a.p_type as t1, b.p_type as t2, a.r as r1, b.r as r2 from g a join g b on a.p_brand = b.p_brand where a.r < 5 and b.r < 5), k as (select *, row_number() over (partition by p_brand order by r1 + r2, r1, r2) as place from c)
 select p_brand, t1, t2, place from k where place <= 16""")
-CATALOGUE.add("q_spliced_driver", "part", lambda d: f"""with m as (select p_brand, {d.join(d.array("p_name", "p_partkey"), ",")} as names from (select p_brand, p_name, p_partkey, row_number() over (partition by p_brand order by p_partkey) as r from {d.t('part')}) x where r <= 3 group by p_brand) select p_brand, concat('run(', names, ')') as driver from m""")
+CATALOGUE.add("q_spliced_driver", "lineitem", lambda d: f"""select l_orderkey, concat('run(', {d.join(d.array("concat('f', cast(l_partkey as varchar(10)))", "l_linenumber * 100000000 + l_partkey"), ",")}, ')') as driver from {d.t('lineitem')} group by l_orderkey""")
 CATALOGUE.add("q_nucleus_filter", "embeddings", lambda d: f"""with e as (select vec_id, pos, cast(x as double) as x from {f"(select vec_id, pos, x from {{embeddings}} lateral view posexplode(embedding) _x as pos, x)" if d.name == "spark" else "(select vec_id, unnest(embedding) as x, cast(generate_subscripts(embedding, 1) - 1 as int) as pos from embeddings)"} v),
 p as (select *, exp(x) / sum(exp(x)) over (partition by vec_id) as p from e), o as (select *, row_number() over (partition by vec_id order by p desc, pos) as r from p),
 c as (select *, coalesce(sum(p) over (partition by vec_id order by r rows between unbounded preceding and 1 preceding), 0) as before from o)
