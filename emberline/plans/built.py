@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions import permutation, tokens
+from emberline.functions import hints, losses, permutation, tokens
+from emberline.functions import sql as sql_functions
 from emberline.operators import localize
-from emberline.operators.tables import kept_table
+from emberline.operators.tables import kept_folder, kept_table
 from emberline.plans import episodes
 from emberline.plans.dialects import Catalogue, Ranked, Spark, numbered
-from emberline.sources import token_store
+from emberline.sources import files, task_meta, token_store
 
 CATALOGUE = Catalogue()
 
@@ -65,7 +66,7 @@ def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def step(s):
         one, two = (F.concat(F.lit("f"), 1 + F.pmod(F.length("episode_id") + F.col("task_id") + s["step"] * k, F.col("n") + 1)) for k in (3, 5))
         edited = F.when(s["kind"] == "edit", F.array_distinct(F.array(one, two))).otherwise(F.array())
-        return F.struct(s["kind"].alias("action_kind"), s["status"].alias("status"), edited.alias("edited"))
+        return F.struct(s["step"].alias("step"), s["kind"].alias("action_kind"), s["status"].alias("status"), s["ratio"].alias("ratio"), edited.alias("edited"))
 
     return known.select(F.col("arm").cast("string").alias("run"), "episode_id", "task_id", "best_ratio", (1 + F.pmod("task_id", F.lit(5)) / 2).alias("reference_speedup"), F.transform("steps", step).alias("steps"))
 
@@ -129,6 +130,142 @@ select run, figure, key, round(value, 6) as value, n from (
 """
 
 
+# hints, with the functions that steps edit and those that stay slow
+def outcome_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slow = file_tasks(spark, sf_dir).select("task_id", "slow_functions")
+    return file_records(spark, sf_dir).join(slow, "task_id").select("episode_id", F.inline(hints.told(F.col("steps"), F.col("slow_functions"))))
+
+
+CATALOGUE.queries["q_outcome_hint"] = outcome_hint
+CATALOGUE.sql["q_outcome_hint"] = f"""
+with {EPISODES_BY_HAND}, fns as (select l_orderkey as task_id, l_discount >= 0.05 as slow, 'f' || row_number() over (partition by l_orderkey order by l_linenumber, l_discount >= 0.05, l_extendedprice) as name from lineitem),
+tasks as (select task_id, count(*) as n, coalesce(list(name) filter (where slow), []) as slow from fns group by task_id),
+acts as (
+  select k.*, case when kind = 'edit' then list_distinct(['f' || (1 + (length(episode_id) + task_id + step * 3) % (n + 1)), 'f' || (1 + (length(episode_id) + task_id + step * 5) % (n + 1))]) else [] end as names,
+    'f' || (1 + (length(episode_id) + task_id + step * 3) % (n + 1)) as one, 'f' || (1 + (length(episode_id) + task_id + step * 5) % (n + 1)) as two
+  from kept k join tasks using (task_id)
+), walk as (
+  with recursive w as (
+    select distinct k.episode_id, k.task_id, 0::bigint as step, 1::double as best, t.slow as rest, []::varchar[] as seen, false as better from kept k join tasks t using (task_id)
+    union all
+    select w.episode_id, w.task_id, a.step,
+      case when a.kind = 'edit' and a.status = 'ok' and coalesce(a.ratio < 0.97 * w.best, false) then a.ratio else w.best end,
+      case when a.kind = 'edit' and a.status = 'ok' and coalesce(a.ratio < 0.97 * w.best, false) then list_filter(w.rest, lambda f: not list_contains(a.names, f)) else w.rest end,
+      w.rest, a.kind = 'edit' and a.status = 'ok' and coalesce(a.ratio < 0.97 * w.best, false)
+    from w join acts a on a.episode_id = w.episode_id and a.step = w.step + 1
+  ) select * from w where step > 0
+), told as (select a.episode_id, a.step, a.kind, a.status, w.better, w.seen, case when a.kind <> 'edit' then 'the code' when one = two then one else one || ', ' || two end as f from walk w join acts a on a.episode_id = w.episode_id and a.step = w.step)
+select episode_id, step::int as step, case when kind = 'stop' then 'stopping here is ' || case when len(seen) > 0 then 'premature' else 'right' end
+  when status = 'malformed' then 'the next action is malformed; answer with a complete <EDIT> or <STOP>' when status = 'incorrect' then 'the next edit to ' || f || ' changes its behaviour; it must preserve it exactly'
+  when better then 'editing ' || f || ' speeds the code up' else 'editing ' || f || ' gives no speedup' end as hint from told
+"""
+
+
+# the policy loss: a step is a token, its log-probabilities follow from its ratio and number, a third of them is masked
+def policy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = spark.sql(f"with {episodes.steps(Spark())} select episode_id as seq, step, kind, coalesce(ratio, 1e0) as x from steps", events=read(spark, sf_dir, "events"))
+    lp = lambda by, of, less: -(F.col("x") + (F.pmod(F.col("step") * by, F.lit(of)) - less) / 10) / 2
+    table = steps.select("seq", (-F.col("x") / 2).alias("lp"), lp(7, 5, 2).alias("old_lp"), lp(3, 4, 1).alias("ref_lp"), (F.lit(0.9) - F.col("x")).alias("advantage"), ((F.col("kind") == "edit") & (F.col("step") % 3 != 0)).alias("mask"))
+    out = losses.policy_loss(table)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns[:-2]), "tokens", "sequences")
+
+
+CATALOGUE.queries["q_policy_loss"] = policy_loss
+CATALOGUE.sql["q_policy_loss"] = f"""
+with {EPISODES_BY_HAND}, tokens as (
+  select episode_id, kind = 'edit' and step % 3 <> 0 as mask, 0.9 - coalesce(ratio, 1) as adv, -coalesce(ratio, 1) / 2 as lp,
+    -(coalesce(ratio, 1) + ((step * 7) % 5 - 2) / 10) / 2 as old_lp, -(coalesce(ratio, 1) + ((step * 3) % 4 - 1) / 10) / 2 as ref_lp from kept
+), terms as (
+  select *, exp(lp - old_lp) as ratio, exp(ref_lp - lp) - (ref_lp - lp) - 1 as k3 from tokens
+), losses as (
+  select *, 0.01 * k3 - least(ratio * adv, case when ratio < 0.8 then 0.8 when ratio > 1.28 then 1.28 else ratio end * adv) as loss from terms
+), seqs as (select episode_id, coalesce(sum(loss) filter (where mask), 0) / greatest(count(*) filter (where mask), 1) as loss from losses group by all)
+select round(avg(loss) filter (where mask), 6) as token_mean, round((select avg(loss) from seqs), 6) as sequence_mean, round(avg((ratio < 0.8 or ratio > 1.28)::int) filter (where mask), 6) as clip_frac,
+  round(avg(old_lp - lp) filter (where mask), 6) as approx_kl_old, round(avg(k3) filter (where mask), 6) as kl_ref, round(avg(ratio) filter (where mask), 6) as ratio_mean,
+  count(*) filter (where mask) as tokens, (select count(*) from seqs) as sequences from losses
+"""
+
+
+# episode records as JSON lines, written and read again under their schema
+def records_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by run of records that went through a JSON lines file: rows, tasks, success, geometric mean, complete ones, and edits by status out of the steps."""
+    path = kept_folder(spark)
+    steps = F.transform("steps", lambda s: F.struct(s["step"].alias("step"), s["action_kind"].alias("action_kind"), s["status"].alias("status"), (s["status"] == "ok").alias("correct"), s["ratio"].alias("ratio"), s["edited"].alias("edited")))
+    files.write_jsonl(file_records(spark, sf_dir).select(F.col("task_id").cast("string").alias("task_id"), F.col("run").alias("seed_name"), "reference_speedup", "best_ratio", steps.alias("steps")), path)
+    back = files.read_jsonl(spark, path, files.EPISODE)
+    speedup = 1 / F.greatest("best_ratio", F.lit(1e-9))
+    edits = F.size(F.filter("steps", lambda s: s["action_kind"] == "edit"))
+    right = F.size(F.filter("steps", lambda s: (s["action_kind"] == "edit") & s["correct"]))
+    return back.groupBy(F.col("seed_name").alias("run")).agg(
+        F.count("*").alias("n"),
+        F.countDistinct("task_id").alias("tasks"),
+        F.round(F.avg((speedup >= 1.05).cast("double")), 6).alias("success_rate"),
+        F.round(F.exp(F.avg(F.ln(speedup))), 6).alias("gm_speedup"),
+        F.round(F.avg(F.when(F.col("reference_speedup") > 1, (speedup >= 0.9 * F.col("reference_speedup")).cast("double"))), 6).alias("matched_reference_rate"),
+        F.round(F.avg(F.when(F.col("reference_speedup") > 1, F.greatest(F.lit(0.0), F.ln(speedup) / F.ln("reference_speedup")))), 6).alias("reference_fraction"),
+        F.round(F.sum(right) / F.sum(edits), 6).alias("edit_correct_rate"),
+    )
+
+
+CATALOGUE.queries["q_records_from_lines"] = records_from_lines
+CATALOGUE.sql["q_records_from_lines"] = f"""
+with {EPISODES_BY_HAND}, tasks as (select distinct l_orderkey as task_id from lineitem),
+records as (select arm::varchar as run, task_id, 1 / best_ratio as speedup, 1 + (task_id % 5) / 2 as reference from best join tasks using (task_id)),
+edits as (select arm::varchar as run, avg((status = 'ok')::int) as correct from kept join tasks using (task_id) where kind = 'edit' group by all)
+select r.run, count(*) as n, count(distinct task_id) as tasks, round(avg((speedup >= 1.05)::int), 6) as success_rate, round(exp(avg(ln(speedup))), 6) as gm_speedup,
+  round(avg((speedup >= 0.9 * reference)::int) filter (where reference > 1), 6) as matched_reference_rate, round(avg(greatest(0, ln(speedup) / ln(reference))) filter (where reference > 1), 6) as reference_fraction,
+  round(any_value(correct), 6) as edit_correct_rate
+from records r join edits e on e.run = r.run group by r.run
+"""
+
+
+# the fold, from plain SQL
+def sql_truncated_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql_functions.register(spark)
+    return spark.sql(f"with {episodes.lists(Spark())}, f as (select episode_id, truncated_best(steps, 3) as f from lists) select episode_id, f.best as best_ratio, f.used from f", events=read(spark, sf_dir, "events"))
+
+
+CATALOGUE.queries["q_sql_truncated_best"] = sql_truncated_best
+CATALOGUE.sql["q_sql_truncated_best"] = f"""
+with {EPISODES_BY_HAND.replace("k.step = w.step + 1", "k.step = w.step + 1 and k.step <= 3")}
+select episode_id, best_ratio, (select count(*) from kept k where k.episode_id = b.episode_id and k.kind <> 'stop' and k.step <= 3)::int as used from best b
+"""
+
+
+# task metadata as VARIANT
+def task_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tasks whose metadata are JSON of different shapes, kept as VARIANT and read by path."""
+    made = F.to_json(F.struct(F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 4).alias("d"), F.when(F.col("p_size") % 2 > 0, F.array(F.col("p_type"), F.col("p_brand"))).alias("functions"), F.struct(F.col("p_size").alias("nodes")).alias("search"), F.struct(F.col("p_name").alias("name")).alias("own")))
+    tasks = kept_table(read(spark, sf_dir, "part").select("p_partkey", task_meta.parsed(made).alias("meta")))
+    out = task_meta.with_columns(tasks, paths=("d", "functions", "kind", "search.nodes"))
+    return out.select("p_partkey", "d", F.array_join("functions", ",").alias("functions"), "kind", "search_nodes", F.try_variant_get("meta", "$.own.name", "string").alias("own"))
+
+
+CATALOGUE.queries["q_task_metadata"] = task_metadata
+CATALOGUE.sql["q_task_metadata"] = """
+select p_partkey, (case when p_size % 3 > 0 then p_size % 4 else 0 end)::int as d, case when p_size % 2 > 0 then p_type || ',' || p_brand else '' end as functions, 'function' as kind, p_size as search_nodes, p_name as own from part
+"""
+
+
+# two sides of a corpus, written in one job
+def written_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as two sides by a hash of their source, read back: rows and characters of each side, and the counts that the writing job made."""
+    path, side = kept_folder(spark), F.when(permutation.draw(F.concat(F.lit("rl|"), "source"), F.lit(10)) < 4, "rl").otherwise("sft")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    told = files.write_sides(docs, path, side, "doc_id", ["rl", "sft"], {"english": F.col("lang") == "en"})
+    counts = spark.createDataFrame([(s, n["rows"], n["english"]) for s, n in told.items()], "side string, counted long, english long")
+    back = spark.read.schema("doc_id long, text string, side string").json(path).groupBy("side").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return counts.join(back, "side", "left")
+
+
+CATALOGUE.queries["q_written_sides"] = written_sides
+CATALOGUE.sql["q_written_sides"] = """
+with d as (select case when ('0x' || substr(sha1('rl|' || coalesce(source, '')), 1, 15))::bigint % 10 < 4 then 'rl' else 'sft' end as side, lang, coalesce(text, '') as text from documents),
+s as (select unnest(['rl', 'sft']) as side)
+select s.side, count(text) as counted, count(*) filter (where lang = 'en') as english, nullif(count(text), 0) as n, sum(length(text))::bigint as chars from s left join d using (side) group by s.side
+"""
+
+
 # compositions of files and epochs, by keyed permutations
 SPECS_PER_FUNCTION = 2
 
@@ -200,3 +337,32 @@ with tasks as (select conv_id, row_number() over (order by conv_id) - 1 as rank
 {walked_by_hand("places", "select e as id, rank as place, n, 'epoch|' || e as key from tasks, size, range(3) r(e)")}
 select id::int as epoch, conv_id, image // 8 as step from places join tasks on rank = place, size where image < n // 8 * 8
 """
+
+
+# oracles by hand for queries of plans/episodes.py, whose SQL would otherwise come from the template that Spark runs
+WALK_BY_HAND = f"""{EPISODES_BY_HAND}, walk as (
+  with recursive w as (
+    select distinct episode_id, task_id, 0::bigint as step, 1::double as best, 0 as improved, 0::bigint as last_at, false as failed, false as recovered from kept
+    union all
+    select w.episode_id, w.task_id, k.step, case when better then k.ratio else best end, improved + better::int, case when better then k.step else last_at end,
+      failed or (k.kind <> 'stop' and k.status <> 'ok'), recovered or (failed and better)
+    from w join kept k on k.episode_id = w.episode_id and k.step = w.step + 1, lateral (select k.kind = 'edit' and k.status = 'ok' and coalesce(k.ratio < 0.97 * w.best, false) as better) b
+  ) select * from w
+), ended as (select w.* from walk w join (select episode_id, max(step) as step from walk group by all) m using (episode_id, step)),
+counted as (
+  select episode_id, count(*) filter (where kind <> 'stop') as n_edits, count(*) filter (where kind <> 'stop' and status <> 'ok') as n_invalid, count(*) filter (where status = 'ok') as n_correct,
+    count(*) filter (where kind = 'stop') as stopped from kept group by all
+)"""
+BY_HAND = {
+    "q_episode_records": f"""with {WALK_BY_HAND} select episode_id, task_id, task_id % 20 as seed_name, best as best_ratio, n_edits::int as n_edits, n_invalid::int as n_invalid, n_correct::int as n_correct, stopped::int as stopped,
+  recovered, improved as n_improved, last_at::int as last_improved from ended join counted using (episode_id)""",
+    "q_reward": f"""with {WALK_BY_HAND} select episode_id, round(least(4, greatest(-4, ln(1 / greatest(best, 1e-9)))) - 0.01 * n_edits - 0.05 * n_invalid - (best > 1)::int * 0.1, 6) as reward from ended join counted using (episode_id)""",
+    "q_truncated_best": f"""with {WALK_BY_HAND}, b as (select unnest([1, 2, 3, 4, 6]) as budget)
+  select c.episode_id, budget, w.best as best_ratio, least(budget, n_edits)::int as used from counted c cross join b join walk w on w.episode_id = c.episode_id and w.step = least(budget, n_edits)""",
+    "q_improving_only": f"""with {WALK_BY_HAND} select episode_id, best as best_ratio from ended where best < 1""",
+    "q_status_histogram": f"""with {EPISODES_BY_HAND} select arm::int as arm, status, count(*) as n from kept where kind <> 'stop' group by all""",
+    "q_group_advantages": f"""with {WALK_BY_HAND}, g as (select episode_id, task_id, -ln(best) as r from ended), m as (select task_id, avg(r) as mu, stddev_pop(r) as sd from g group by all)
+  select episode_id, round(case when sd < 1e-8 then 0 else (r - mu) / (sd + 1e-6) end, 5) as advantage, sd < 1e-8 as zero_variance from g join m using (task_id)""",
+    "q_partial_fix_filter": f"""with {WALK_BY_HAND}, f as (select 1 / best >= 0.8 * (0.6 + (task_id % 8) / 4) as ok from ended where best < 1) select count(*) as n, count(*) filter (where ok) as kept, count(*) filter (where not ok) as dropped from f""",
+}
+CATALOGUE.sql |= BY_HAND

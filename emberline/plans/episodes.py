@@ -225,14 +225,6 @@ def judged(d: Spark, start: str = "") -> str:
 each as ({"select episode_id, s.* from told lateral view explode(steps) _x as s" if d.name == "spark" else "select episode_id, unnest(steps, recursive := true) from told"})"""
 
 
-# The sentences of hints.
-add("q_outcome_hint", lambda d: f"""with {judged(d)}
-select episode_id, step, case when kind = 'stop' then 'stopping here is right' when status = 'malformed' then 'the next action is malformed; answer with a complete <EDIT> or <STOP>'
-  when status = 'incorrect' then 'the next edit to the code changes its behaviour; it must preserve it exactly'
-  when status in ('syntax_error', 'static_error', 'load_error') then 'the next edit to the code is not valid; it must be plain valid Python'
-  when status = 'runtime_error' then 'the next edit to the code raises an error' when status in ('timeout', 'resource') then 'the next edit to the code is too slow or hangs'
-  when status = 'ok' and ratio < 0.97 * best then 'editing the code speeds the code up' when status = 'ok' then 'editing the code gives no speedup'
-  else concat('the next edit to the code fails (', status, ')') end as hint from each""")
 add("q_difficulty_filter", lambda d: f"""with {records(d)}, rates as (select task_id, avg(case when speedup >= 1.5 then 1e0 else 0e0 end) as rate, count(*) as n from records where arm = 1 group by task_id),
 decided as (select task_id, case when n < 2 then 'unprobed' when rate > 0.9 then 'too_easy' when rate < 0.1 then 'too_hard' else 'keep' end as decision from rates), tasks as (select distinct task_id from records)
 select t.task_id, coalesce(decision, 'unprobed') as decision, coalesce(decision, 'unprobed') in ('keep', 'unprobed') as kept from tasks t left join decided d on t.task_id = d.task_id""")
