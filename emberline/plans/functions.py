@@ -33,9 +33,20 @@ add("windows", "events", lambda d: f"""with {long(d)} select id, pos, x, cast(su
 add("aggregates", "events", lambda d: f"""with {long(d)}, m as (select *, avg(cast(x as double)) over (partition by id) as mean, sum(cast(x as double)) over (partition by id) as total, max(x) over (partition by id) as top from e)
 select id, cast(sum(case when x > mean then 1 else 0 end) as bigint) as count_above_mean, max(x) - min(x) as value_range, cast(sum(x * x) as bigint) as squares_sum, round(max(cast(x as double) / greatest(total, 1)), 6) as top_share, round(avg(abs(x - mean)), 6) as mean_deviation from m group by id""")
 add("most_frequent", "events", lambda d: f"""with {long(d)}, c as (select id, x, count(*) as n, min(pos) as first_pos from e group by id, x), r as (select *, row_number() over (partition by id order by n desc, first_pos) as r from c) select id, x as most_frequent, cast(n as bigint) as n from r where r = 1""")
-add("word_frequencies", "documents", lambda d: f"""with w as (select doc_id, w from {"(select doc_id, w from (select doc_id, " + d.words("text") + " as ws from {documents}) t lateral view explode(ws) _x as w)" if d.name == "spark" else "(select doc_id, unnest(" + d.words("text") + ") as w from documents)"} v)
-select word, cast(sum(n) as bigint) as n, cast(count(*) as bigint) as documents from (select doc_id, w as word, count(*) as n from w group by doc_id, w) x group by word""")
-add("bucket_by_length", "documents", lambda d: f"""select length(text) % 97 as bucket, cast(count(*) as bigint) as n, {d.join(d.array("cast(doc_id as varchar(20))", "doc_id"), ",")} as members from {d.t('documents')} group by length(text) % 97""")
+def word_frequencies(d: Spark) -> str:
+    """Each word's occurrences and documents. Spark lists both kinds of rows of a document in one array, so words are shuffled once, by themselves, after they were added up in each task."""
+    if d.name == "spark":
+        return f"""with t as (select {d.words("text")} as ws from {d.t('documents')}),
+e as (select inline(concat(transform(ws, w -> named_struct('word', w, 'n', 1L, 'documents', 0L)), transform(array_distinct(ws), w -> named_struct('word', w, 'n', 0L, 'documents', 1L)))) from t)
+select word, sum(n) as n, sum(documents) as documents from e group by word"""
+    return f"""with w as (select row_number() over () as id, {d.words("text")} as ws from documents), e as (select id, unnest(ws) as word from w)
+select word, count(*) as n, count(distinct id) as documents from e group by word"""
+
+
+add("word_frequencies", "documents", word_frequencies)
+# members are rows and no lists: a bucket may hold any number of them
+add("bucket_by_length", "documents", lambda d: f"""with b as (select length(text) % 97 as bucket, cast(count(*) as bigint) as n from {d.t('documents')} group by length(text) % 97)
+select t.doc_id, b.bucket, b.n from {d.t('documents')} t join b on length(t.text) % 97 = b.bucket""")
 add("reverse_words", "benchmark", lambda d: f"""select item_id, {d.join("reverse(" + d.words("text") + ")" if d.name == "spark" else "list_reverse(" + d.words("text") + ")", " ")} as reversed, text = reverse(text) as is_palindrome, {d.size(d.words("text"))} as n_words from {d.t('benchmark')}""")
 add("longest_token", "benchmark", lambda d: f"""with w as ({"select item_id, pos, w from (select item_id, " + d.words("text") + " as ws from {benchmark}) t lateral view posexplode(ws) _x as pos, w" if d.name == "spark" else "select item_id, unnest(ws) as w, cast(generate_subscripts(ws, 1) - 1 as int) as pos from (select item_id, " + d.words("text") + " as ws from benchmark) t"}),
 r as (select *, row_number() over (partition by item_id order by length(w) desc, pos) as r from w) select item_id, w as longest_token, length(w) as n from r where r = 1""")
