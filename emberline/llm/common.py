@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    The session's own setting is used; only where it is unset (tests, local mode) a folder below the
-    warehouse is set.
+    The session's own setting is used; only where it is unset in local mode (tests) a folder below the
+    warehouse is set. On a cluster, which may not share the warehouse, ValueError is raised then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/emberline-{uuid.uuid4().hex}"
