@@ -165,3 +165,15 @@ def test_exact_medians(spark, few):
         kept = sorted((v for v in vs if v is not None), key=lambda v: (math.isnan(v), v))
         assert out.get(g) == ((len(kept), kept[len(kept) // 2]) if kept else None)
     assert Counter(out.keys()) == Counter(g for g in groups if g != "nulls")
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from emberline.operators.tables import kept_folder
+
+    session = lambda master, **conf: SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda k, *d: conf.get(k.rpartition(".")[2] if "checkpoint" not in k else "checkpoint", *d)))
+    with pytest.raises(ValueError, match="must name a folder"):
+        kept_folder(session("spark://host:7077", dir="w"))
+    assert kept_folder(session("spark://host:7077", checkpoint="hdfs://x/c/")).startswith("hdfs://x/c/emberline-")
+    assert kept_folder(session("local[4]", dir="file:///w")).startswith("file:///w/_checkpoints/emberline-")
