@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import hints, losses, permutation, tokens
 from emberline.functions import sql as sql_functions
-from emberline.operators import localize
+from emberline.operators import bootstrap, distill, localize
 from emberline.operators.tables import kept_folder, kept_table
 from emberline.plans import episodes
 from emberline.plans.dialects import Catalogue, Ranked, Spark, numbered
@@ -339,6 +339,47 @@ select id::int as epoch, conv_id, image // 8 as step from places join tasks on r
 """
 
 
+# a teacher's episodes as training rows; what it said stands for what its step became
+HORIZON = 30
+
+
+def taught(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(f"with {episodes.records(Spark())} select r.episode_id, r.task_id, r.best_ratio, r.n_edits, r.n_invalid, r.log_speedup as reward, l.steps from records r join lists l on l.episode_id = r.episode_id", events=read(spark, sf_dir, "events"))
+
+    def said(s):
+        code = F.concat(F.lit("x = "), s["step"].cast("string"))
+        closed = F.when(s["step"] % 3 > 0, F.lit("\n</EDIT> done")).otherwise(F.lit(""))
+        text = F.when(s["kind"] == "stop", F.lit("enough <STOP>")).when(s["kind"] == "malformed", F.lit("no action")).otherwise(F.concat(F.lit("so <EDIT>\n"), code, closed))
+        return F.struct(F.concat(F.lit("step="), s["step"].cast("string")).alias("obs"), text.alias("action_text"), F.when(s["step"] % 4 > 0, s["step"] % 5 > 0).alias("finished"))
+
+    return own.withColumn("turns", F.transform("steps", said)).withColumn("steps", F.transform("steps", lambda s: F.struct(s["status"].alias("status"), s["ratio"].alias("ratio"))))
+
+
+def seqkd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = distill.rows(taught(spark, sf_dir), HORIZON, 1.5)
+    return rows.select("episode_id", "task_id", F.inline("steps"), "method").drop("ratio")
+
+
+CATALOGUE.queries["q_seqkd_rows"] = seqkd_rows
+CATALOGUE.sql["q_seqkd_rows"] = f"""
+with {EPISODES_BY_HAND}
+select k.episode_id, k.task_id, (step - 1)::int as step, (30 - (step - 1))::int as remaining, 'step=' || step as obs,
+  case kind when 'stop' then '<STOP>' when 'malformed' then 'no action' else '<EDIT>' || chr(10) || 'x = ' || step || chr(10) || '</EDIT>' end as action, status,
+  step % 4 = 0 or step % 5 > 0 as finished, status in ('ok', 'stop') as learn, 'seqkd' as method
+from kept k join best b on b.episode_id = k.episode_id where 1 / b.best_ratio >= 1.5
+"""
+
+
+def task_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The success rate of all episodes with its 95 % interval, tasks as clusters. Draws depend on how ranges are cut, so SQL can't repeat them."""
+    own = spark.sql(f"with {episodes.records(Spark())} select task_id, sum(case when speedup >= 1.05 then 1e0 else 0e0 end) as total, cast(count(*) as double) as weight from records group by task_id", events=read(spark, sf_dir, "events"))
+    found = bootstrap.interval(kept_table(own), "task_id", "total", "weight", 2000)
+    return spark.createDataFrame([found] if found else [], "point double, low double, high double")
+
+
+CATALOGUE.queries["q_task_bootstrap"] = task_bootstrap
+
+
 # oracles by hand for queries of plans/episodes.py, whose SQL would otherwise come from the template that Spark runs
 WALK_BY_HAND = f"""{EPISODES_BY_HAND}, walk as (
   with recursive w as (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import permutation, tokens
 from emberline.functions import sql as sql_functions
-from emberline.operators import exact_quantile, localize
+from emberline.operators import distill, exact_quantile, localize
 from emberline.sources import files, task_meta, token_store
 
 TEXTS = ["", "abc", "é𝄞 \x00\x7f", "x" * 5000, None, "y" * 70_000, *(f"text number {k} " * (k % 40) for k in range(200))]
@@ -177,3 +177,15 @@ def test_a_cluster_must_name_a_shared_folder():
         kept_folder(session("spark://host:7077", dir="w"))
     assert kept_folder(session("spark://host:7077", checkpoint="hdfs://x/c/")).startswith("hdfs://x/c/emberline-")
     assert kept_folder(session("local[4]", dir="file:///w")).startswith("file:///w/_checkpoints/emberline-")
+
+
+def test_training_rows_of_a_teacher(spark):
+    turns = [("o0", "<EDIT>\nx = 1\n", None), ("o1", None, False), ("o2", "<STOP>", True), ("o3", "not reached", True)]
+    steps = [("ok", 0.5), ("malformed", None), ("stop", None)]
+    schema = "episode_id string, task_id string, best_ratio double, n_edits int, n_invalid int, reward double, turns array<struct<obs:string,action_text:string,finished:boolean>>, steps array<struct<status:string,ratio:double>>"
+    df = spark.createDataFrame([("a", "t", 0.5, 2, 1, 0.6, turns, steps), ("b", "t", 0.9, 1, 0, 0.1, turns, steps), ("c", "u", 0.1, 0, 0, 2.0, [], [])], schema)
+    out = {r.episode_id: r for r in distill.rows(df, 6, 1.5).collect()}
+    assert set(out) == {"a", "c"} and out["c"].steps is None and out["a"].method == "seqkd"
+    assert [(s.step, s.remaining, s.obs, s.action, s.status, s.finished, s.learn) for s in out["a"].steps] == [(0, 6, "o0", "<EDIT>\nx = 1\n</EDIT>", "ok", True, True), (1, 5, "o1", "", "malformed", False, False), (2, 4, "o2", "<STOP>", "stop", True, True)]
+    r = distill.stats(df, 6, 1.5).first()
+    assert (r.episodes, r.kept, r.steps, r.imitable_steps, r.truncated_steps) == (3, 2, 3, 2, 1)
