@@ -292,3 +292,13 @@ def test_html_many_unclosed_elements_take_time_in_proportion():
     began = time.perf_counter()
     html_text.main_text("<button>x" * 100_000 + "<select>" * 50_000)
     assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "z" * 1_000_000, "ab1, " * 200_000], ids=["spaces", "newlines", "word", "words"])
+def test_very_long_texts(text):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe.loaded(path).encode(text)
+    assert ids == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    n, _ = token_count.loaded(public_tokenizers.path("piece_bpe_32k.model")).count(text)
+    assert n > 0
+    assert 0 <= toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32)).score(text) <= 1
