@@ -36,7 +36,9 @@ from emberline.llm.common import small_batches, written
 CAPACITY = 2048
 END = 1
 #: Words kept with their tokens by each Python worker, once and as many older ones, and the longest that is kept.
-CACHE_WORDS, CACHED_CHARS = 300_000, 64
+CACHE_WORDS, CACHED_CHARS = 250_000, 64
+#: Characters of texts that are split into words at a time; a longer text is by itself.
+SPLIT_CHARS = 1_000_000
 #: Stands for the end of a word; words that hold it go to the library.
 MARK = "\x01"
 #: Rows of cut pieces, or of a plan, that may be broadcast; beyond, joins shuffle.
@@ -98,6 +100,19 @@ class Words:
         """The ids of each text, little-endian unsigned 32-bit."""
         if not self.by_word:
             return self._by_library(texts)
+        # lists of words take ten times the bytes of their texts, so few texts are split at a time
+        out: list[bytes] = []
+        some: list[str] = []
+        held = 0
+        for text in texts:
+            some.append(text)
+            held += len(text)
+            if held >= SPLIT_CHARS:
+                out += self._some(some)
+                some, held = [], 0
+        return out + self._some(some)
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
         words = [[w for w in regex.split(f"[{SPACE}]+", t) if w] if ODD_SPACE.search(t) else t.split() for t in texts]
