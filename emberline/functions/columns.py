@@ -13,6 +13,11 @@ def speedup(best_ratio: Column) -> Column:
     return 1 / F.greatest(best_ratio, F.lit(LEAST_RATIO))
 
 
+def inverse(x: Column) -> Column:
+    """1 / x as doubles have it, infinite for zero, where Spark's division raises."""
+    return F.when(x == 0, F.lit(float("inf"))).otherwise(1 / x)
+
+
 def reward(best_ratio: Column, n_edits: Column, n_invalid: Column, per_edit: float = 0.01, per_invalid: float = 0.05, regression: float = 0.0) -> Column:
     """Clipped log-speedup less the cost of edits, invalid edits and, above ratio 1, a regression."""
     gain = F.least(F.greatest(F.ln(speedup(best_ratio)), F.lit(-4.0)), F.lit(4.0))

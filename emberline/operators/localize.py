@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions import columns
+
 SUCCESS, COMPLETE = 1.5, 0.8
 #: Edits with this number that must be there for a rate.
 LEAST_EDITS = 20
@@ -46,7 +48,7 @@ def report(records: DataFrame, tasks: DataFrame) -> DataFrame:
     none, count = F.lit(""), F.count("*")
     n = F.size("functions")
     chance = tasks.agg(F.array(row("slow_chance", none, F.avg(F.size("slow_functions") / n), count), row("hot_chance", none, F.avg(1 / n), count)).alias("rows")).select(F.lit("chance").alias("run"), F.inline("rows"))
-    speedup = 1 / F.col("best_ratio")
+    speedup = columns.inverse(F.col("best_ratio"))
     by_d = records.join(tasks.select("task_id", F.size("slow_functions").alias("d")), "task_id").groupBy("run", "d")
     by_d = by_d.agg(F.array(row("success", F.col("d"), rate(speedup >= SUCCESS), count), row("complete", F.col("d"), rate(speedup >= COMPLETE * F.col("reference_speedup")), count)).alias("rows")).select("run", F.inline("rows"))
     found = edits(records, tasks)

@@ -38,6 +38,24 @@ def test_twins(spark, duck, name):
     assert sorted(tuple(map(told, r)) for r in ours.select(columns).collect()) == sorted(tuple(told(r[i]) for i in at) for r in theirs.fetchall())
 
 
+@pytest.mark.parametrize("name", ["q_localization"])
+def test_twins_where_ratios_are_zero_or_below(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"copy (select * from '{SF}/lineitem.parquet') to '{tmp_path}/lineitem.parquet'")
+    con.execute(f"create table more as select row_number() over (order by l_orderkey) as k, l_orderkey as u from (select distinct l_orderkey from '{SF}/lineitem.parquet' where l_orderkey > (select max(user_id) from '{SF}/events.parquet')) order by u limit 4")
+    # of one episode each but the last two: zero; below zero; zero twice; zero and a half
+    con.execute("create table odd(k int, day int, value double)")
+    con.execute("insert into odd values (1, 1, 0), (2, 1, -5), (3, 1, 0), (3, 20, 0), (4, 1, 0), (4, 20, 25)")
+    con.execute(f"""copy (select * from '{SF}/events.parquet' union all by name
+      select 10000000 + k * 100 + day as event_id, make_timestamp(2024, 1, day, 1, 0, 0) as ts, u as user_id, 'click' as event_type, value, null as props from odd join more using (k)) to '{tmp_path}/events.parquet'""")
+    for t in ("events", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    ours, theirs = plans.QUERIES[name](spark, str(tmp_path)), con.sql(plans.SQL[name])
+    columns = sorted(ours.columns)
+    at = [theirs.columns.index(c) for c in columns]
+    assert sorted(tuple(map(told, r)) for r in ours.select(columns).collect()) == sorted(tuple(told(r[i]) for i in at) for r in theirs.fetchall())
+
+
 @pytest.mark.parametrize(("budget", "best", "used"), [(1, 1.0, 1), (2, 0.5, 2), (3, 0.5, 3), (6, 0.2, 4)])
 def test_truncated_best(spark, budget, best, used):
     d = Spark()
