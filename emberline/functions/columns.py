@@ -18,6 +18,11 @@ def inverse(x: Column) -> Column:
     return F.when(x == 0, F.lit(float("inf"))).otherwise(1 / x)
 
 
+def ln(x: Column) -> Column:
+    """The logarithm as doubles have it: minus infinity for zero and no number below, where Spark's is null."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
 def reward(best_ratio: Column, n_edits: Column, n_invalid: Column, per_edit: float = 0.01, per_invalid: float = 0.05, regression: float = 0.0) -> Column:
     """Clipped log-speedup less the cost of edits, invalid edits and, above ratio 1, a regression."""
     gain = F.least(F.greatest(F.ln(speedup(best_ratio)), F.lit(-4.0)), F.lit(4.0))

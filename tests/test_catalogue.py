@@ -38,7 +38,7 @@ def test_twins(spark, duck, name):
     assert sorted(tuple(map(told, r)) for r in ours.select(columns).collect()) == sorted(tuple(told(r[i]) for i in at) for r in theirs.fetchall())
 
 
-@pytest.mark.parametrize("name", ["q_localization", "q_group_advantages"])
+@pytest.mark.parametrize("name", ["q_localization", "q_group_advantages", "q_records_from_lines"])
 def test_twins_where_ratios_are_zero_or_below(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"copy (select * from '{SF}/lineitem.parquet') to '{tmp_path}/lineitem.parquet'")
