@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberline.functions.arrays import LIBRARY as ARRAYS
-from emberline.functions.arrays import MEAN, SORTED, SUM_XS, TOTAL, first_by, grouped
+from emberline.functions.arrays import LARGEST, MEAN, SORTED, SUM_XS, TOTAL, first_by, grouped, groups, let, lookups, smaller, times
 
 #: White space at both ends, and between words, as plain Python's str methods see it.
 ENDS = r"r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$'"
@@ -19,23 +19,14 @@ GAPS = r"r'(?U)[\s\x1c-\x1f]+'"
 LENGTHS = "aggregate({0}, cast(0 as bigint), (a, e) -> a + {1})"
 
 
-def found(pairs: str, key: str, value: str, of: str, default: str) -> str:
-    """The last value of a key, or the default."""
-    return f"coalesce(try_element_at(transform(filter({pairs}, p -> p.{key} = {of}), p -> p.{value}), -1), {default})"
-
-
-def known(pairs: str, key: str, of: str) -> str:
-    return f"exists({pairs}, p -> p.{key} = {of})"
-
-
-def groups(array: str, key: str, value: str) -> str:
-    """array<struct<k, vs>> of elements e."""
-    return f"transform(array_distinct(transform({array}, e -> {key})), g -> struct(g as k, transform(filter({array}, e -> {key} = g), e -> {value}) as vs))"
+def known(pairs: str, key: str, body: str, of: str) -> str:
+    """body with @ for whether a key is among those of the pairs."""
+    return let("keys", f"transform({pairs}, p -> p.{key})", body.replace("@", f"if(size(keys) = 0, false, array_contains(keys, {of}))"))
 
 
 def counts(array: str, key: str = "e") -> str:
     """array<struct<k, n>> of elements e."""
-    return f"transform(array_distinct(transform({array}, e -> {key})), g -> struct(g as k, size(filter({array}, e -> {key} = g)) as n))"
+    return let("keys", f"transform({array}, e -> {key})", f"transform(array_distinct(keys), g -> struct(g as k, {times('keys', 'g')} as n))")
 
 
 def unless(wrong: str, value: str) -> str:
@@ -55,26 +46,26 @@ BY_COUNT = f"transform(array_sort(transform({grouped('ts')}, g -> struct(-g.n as
 LETTERS = "filter(split(s, ''), e -> e <> '')"
 NO_KEY = "exists(ts, t -> t = '')"
 GRAND = TOTAL.format("flatten(rows)")
-PAIR_MEANS = ("(aggregate(ps, 0D, (t, p) -> t + p.a) / size(ps))", "(aggregate(ps, 0D, (t, p) -> t + p.b) / size(ps))")
+PAIR_MEANS = ("(aggregate(ps, 0D, (t, p) -> t + p.a) / nullif(size(ps), 0))", "(aggregate(ps, 0D, (t, p) -> t + p.b) / nullif(size(ps), 0))")
 
 LIBRARY: dict[str, str] = {
     # lookups
-    "lookup_prices": f"transform(ts, t -> {found('ns', 'k', 'v', 't', '0')})",
-    "map_ids": unless(f"exists(xs, x -> not {known('ps', 'a', 'x')})", f"transform(xs, x -> {found('ps', 'a', 'b', 'x', 'null')})"),
-    "resolve_ids": f"transform(xs, x -> {found('ps', 'a', 'b', 'x', '-1')})",
-    "price_total": TOTAL.format(f"transform(ts, t -> {found('ns', 'k', 'v', 't', '0')})"),
-    "known_ids_count": f"size(filter(xs, x -> {known('ps', 'a', 'x')}))",
-    "translate_tokens": f"transform(ts, t -> {found('ds', 'k', 'v', 't', 't')})",
-    "relabel": f"transform(ts, t -> {found('ds', 'k', 'v', 't', 't')})",
-    "missing_keys": f"filter(ts, t -> not {known('ns', 'k', 't')})",
-    "has_all_keys": f"forall(ts, t -> {known('ns', 'k', 't')})",
-    "weighted_total": TOTAL.format(f"transform(xs, x -> 2 * {found('ps', 'a', 'b', 'x', '1')})"),
-    "score_lookup_max": f"array_max(transform(ts, t -> {found('ns', 'k', 'v', 't', '0')}))",
-    "lookup_pairs_both": f"transform(ps, e -> {found('qs', 'a', 'b', 'e.a', '0')} + {found('qs', 'a', 'b', 'e.b', '0')})",
-    "pair_lookup_sum": TOTAL.format(f"transform(xs, x -> {found('ps', 'a', 'b', 'x', '0')})"),
-    "format_scores": f"array_join(transform(ts, t -> concat(t, ': ', {found('ns', 'k', 'v', 't', '0')})), chr(10))",
+    "lookup_prices": lookups("ns", "k", "v", "transform(ts, t -> @)", "t", "0"),
+    "map_ids": unless(known("ps", "a", "exists(xs, x -> not @)", "x"), lookups("ps", "a", "b", "transform(xs, x -> @)", "x", "null")),
+    "resolve_ids": lookups("ps", "a", "b", "transform(xs, x -> @)", "x", "-1"),
+    "price_total": TOTAL.format(lookups("ns", "k", "v", "transform(ts, t -> @)", "t", "0")),
+    "known_ids_count": known("ps", "a", "size(filter(xs, x -> @))", "x"),
+    "translate_tokens": lookups("ds", "k", "v", "transform(ts, t -> @)", "t", "t"),
+    "relabel": lookups("ds", "k", "v", "transform(ts, t -> @)", "t", "t"),
+    "missing_keys": known("ns", "k", "filter(ts, t -> not @)", "t"),
+    "has_all_keys": known("ns", "k", "forall(ts, t -> @)", "t"),
+    "weighted_total": TOTAL.format(lookups("ps", "a", "b", "transform(xs, x -> 2 * @)", "x", "1")),
+    "score_lookup_max": lookups("ns", "k", "v", "array_max(transform(ts, t -> @))", "t", "0"),
+    "lookup_pairs_both": "zip_with({0}, {1}, (a, b) -> a + b)".format(*(lookups("qs", "a", "b", "transform(ps, e -> @)", f"e.{x}", "0") for x in "ab")),
+    "pair_lookup_sum": TOTAL.format(lookups("ps", "a", "b", "transform(xs, x -> @)", "x", "0")),
+    "format_scores": lookups("ns", "k", "v", "array_join(transform(ts, t -> concat(t, ': ', @)), chr(10))", "t", "0"),
     "best_score_name": f"{first_by('ns', 'x.v')}.k",
-    "above_mean_names": "transform(filter(ns, p -> p.v > aggregate(ns, 0D, (t, q) -> t + q.v) / size(ns)), p -> p.k)",
+    "above_mean_names": let("mean", "aggregate(ns, 0D, (t, q) -> t + q.v) / nullif(size(ns), 0)", "transform(filter(ns, p -> p.v > mean), p -> p.k)"),
     # membership
     "count_hits": ARRAYS["count_common"],
     "overlap_count": ARRAYS["count_common"],
@@ -82,10 +73,10 @@ LIBRARY: dict[str, str] = {
     "unknown_words": ARRAYS["remove_stopwords"],
     "mark_seen": "transform(ts, t -> struct(t as e, array_contains(us, t) as seen))",
     "count_pairs_in_table": "size(filter(ps, p -> array_contains(ys, p.a) and array_contains(ys, p.b)))",
-    "matches_sorted_prefix": f"filter(ys, y -> array_contains(slice({SORTED}, 1, 5), y))",
+    "matches_sorted_prefix": let("first", f"slice({SORTED}, 1, 5)", "filter(ys, y -> array_contains(first, y))"),
     "report_known_ratio": "concat(size(filter(xs, x -> array_contains(ys, x))), '/', size(xs))",
     "percent_known": unless("size(ts) = 0", "cast(bround(100 * size(filter(ts, t -> array_contains(us, t))) / nullif(size(ts), 0)) as bigint)"),
-    "filter_and_scale": "transform(filter(xs, x -> array_contains(ys, x)), x -> x / nullif(array_max(xs), 0))",
+    "filter_and_scale": let("top", LARGEST, "transform(filter(xs, x -> array_contains(ys, x)), x -> x / nullif(top, 0))"),
     # groups and counts
     "group_by_key": groups("ps", "e.a", "e.b"),
     "group_pairs": groups("ps", "e.a", "e.b"),
@@ -100,22 +91,22 @@ LIBRARY: dict[str, str] = {
     "histogram_buckets": unless("k <= 0", counts("xs", "(e - pmod(e, if(k > 0, k, 1))) div if(k > 0, k, 1)")),
     "mode_value": ARRAYS["most_frequent"],
     "top_tokens_line": f"array_join(slice({BY_COUNT}, 1, cast(greatest(k, 0) as int)), ',')",
-    "rank_tokens": f"transform(ts, t -> array_position({BY_COUNT}, t) - 1)",
-    "group_sizes_line": "array_join(transform(array_sort(array_distinct(transform(ps, p -> p.a))), v -> concat(v, ':', size(filter(ps, p -> p.a = v)))), ' ')",
+    "rank_tokens": let("ranked", BY_COUNT, "transform(ts, t -> array_position(ranked, t) - 1)"),
+    "group_sizes_line": let("keys", "transform(ps, p -> p.a)", f"array_join(transform(array_sort(array_distinct(keys)), v -> concat(v, ':', {times('keys', 'v')})), ' ')"),
     # values against the whole array
-    "scale_by_max": "transform(xs, x -> x / nullif(array_max(xs), 0))",
-    "fraction_of_total": f"transform(xs, x -> x / nullif({SUM_XS}, 0))",
-    "percent_of_max": "transform(xs, x -> cast(bround(100 * x / nullif(array_max(xs), 0)) as bigint))",
+    "scale_by_max": let("top", LARGEST, "transform(xs, x -> x / nullif(top, 0))"),
+    "fraction_of_total": ARRAYS["normalize_scores"],
+    "percent_of_max": let("top", LARGEST, "transform(xs, x -> cast(bround(100 * x / nullif(top, 0)) as bigint))"),
     "normalize_by_first": "transform(xs, x -> x / (abs(xs[0]) + 1))",
     "above_threshold_ratio": "transform(xs, x -> x > k * size(xs))",
-    "mask_by_sorted_cutoff": unless("k < 0 or k >= size(xs)", f"transform(xs, x -> x >= try_element_at({SORTED}, cast(k as int) + 1))"),
-    "label_by_quantile": f"transform(xs, x -> case when x < {SORTED}[size(xs) div 4] then 'low' when x > {SORTED}[3 * size(xs) div 4] then 'high' else 'mid' end)",
+    "mask_by_sorted_cutoff": unless("k < 0 or k >= size(xs)", let("sorted", SORTED, "transform(xs, x -> x >= try_element_at(sorted, cast(k as int) + 1))")),
+    "label_by_quantile": let("sorted", SORTED, "transform(xs, x -> case when x < sorted[size(xs) div 4] then 'low' when x > sorted[3 * size(xs) div 4] then 'high' else 'mid' end)"),
     "rank_all": ARRAYS["rank_by_sorted_position"],
     "count_less_than_each": ARRAYS["rank_by_sorted_position"],
-    "index_in_sorted": unless("exists(ys, y -> not array_contains(xs, y))", "transform(ys, y -> size(filter(xs, x -> x < y)))"),
-    "distances_to_center": f"transform(ps, e -> abs(e.a - {PAIR_MEANS[0]}) + abs(e.b - {PAIR_MEANS[1]}))",
+    "index_in_sorted": unless("exists(ys, y -> not array_contains(xs, y))", let("sorted", SORTED, f"transform(ys, y -> {smaller('sorted', 'y')})")),
+    "distances_to_center": let("ma", PAIR_MEANS[0], let("mb", PAIR_MEANS[1], "transform(ps, e -> abs(e.a - ma) + abs(e.b - mb))")),
     "value_span": ARRAYS["value_range"],
-    "center_and_round": rounded_to(f"transform(xs, x -> x - {MEAN})", "k"),
+    "center_and_round": rounded_to(ARRAYS["center_values"], "k"),
     "summary_line": unless("size(xs) = 0", "concat('min=', array_min(xs), ' max=', array_max(xs), ' n=', size(xs))"),
     # element by element, and neighbours
     "index_pairs_in_range": "filter(transform(xs, (x, i) -> if(x between lo and hi, i, null)), i -> i is not null)",
@@ -133,17 +124,17 @@ LIBRARY: dict[str, str] = {
     "squares_sum": "if(k <= 0, 0, (k - 1) * k * (2 * k - 1) div 6)",
     "longest_streak_value": "aggregate(xs, struct(cast(null as bigint) as best, 0 as top, cast(null as bigint) as cur, 0 as n), (q, x) -> struct(if(if(x <=> q.cur, q.n + 1, 1) > q.top, x, q.best) as best, greatest(q.top, if(x <=> q.cur, q.n + 1, 1)) as top, x as cur, if(x <=> q.cur, q.n + 1, 1) as n), q -> q.best)",
     # pairs of places
-    "count_pairs_with_sum": TOTAL.format("transform(xs, (x, i) -> size(filter(slice(xs, 1, i), y -> x + y = k)))"),
-    "has_pair_with_diff": "exists(transform(xs, (x, i) -> exists(slice(xs, 1, i), y -> abs(x - y) = abs(k))), b -> b)",
+    "count_pairs_with_sum": TOTAL.format(f"transform(xs, (x, i) -> {times('slice(xs, 1, i)', 'k - x')})"),
+    "has_pair_with_diff": "if(k = 0, size(xs) <> size(array_distinct(xs)), exists(xs, x -> coalesce(array_contains(xs, try_add(x, abs(k))), false)))",
     "count_distinct_pairs_sum": "size(filter(array_distinct(xs), x -> x < k - x and array_contains(xs, k - x)))",
-    "two_sum_indices": "try_element_at(filter(transform(xs, (x, i) -> if(array_contains(slice(xs, 1, i), k - x), array(cast(array_position(xs, k - x) - 1 as int), i), null)), p -> p is not null), 1)",
+    "two_sum_indices": "try_element_at(filter(transform(xs, (x, i) -> if(array_position(xs, k - x) between 1 and i, array(cast(array_position(xs, k - x) - 1 as int), i), null)), p -> p is not null), 1)",
     "peak_pair": first_by("ps", "x.b"),
     # rows
     "zero_padded": "transform(rows, r -> concat(r, array_repeat(cast(0 as bigint), cast(greatest(k - size(r), 0) as int))))",
-    "rows_above_mean_len": "filter(rows, r -> size(r) > size(flatten(rows)) / size(rows))",
+    "rows_above_mean_len": let("mean", "size(flatten(rows)) / nullif(size(rows), 0)", "filter(rows, r -> size(r) > mean)"),
     "widest_range_row": unless("exists(rows, r -> size(r) = 0)", first_by("rows", "array_max(x) - array_min(x)")),
-    "row_fractions": f"transform(rows, r -> transform(r, x -> x / nullif({GRAND}, 0)))",
-    "shifted_by_min": unless("exists(rows, r -> size(r) = 0)", "transform(rows, r -> transform(r, x -> x - array_min(flatten(rows))))"),
+    "row_fractions": let("total", GRAND, "transform(rows, r -> transform(r, x -> x / nullif(total, 0)))"),
+    "shifted_by_min": unless("exists(rows, r -> size(r) = 0)", let("low", "array_min(flatten(rows))", "transform(rows, r -> transform(r, x -> x - low))")),
     "csv_rows": "array_join(transform(rows, r -> array_join(transform(r, x -> cast(x as string)), ',')), chr(10))",
     # texts
     "reverse_words": f"array_join(reverse(filter(split(s, {GAPS}), w -> w <> '')), ' ')",

@@ -175,8 +175,11 @@ def array_library(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-5).cast("long").alias("lo"),
         F.lit(15).cast("long").alias("hi"),
     )
-    told = F.array(*(F.struct(F.lit(n).alias("function"), F.to_json(F.struct(F.expr(x).alias("value"))).alias("result")) for n, x in sorted({**arrays.LIBRARY, **keyed.LIBRARY}.items())))
-    return inputs.select("user_id", F.inline(told))
+    # Several functions share an expression, which is computed once; as columns of a projection they stay apart from the generator.
+    library = sorted({**arrays.LIBRARY, **keyed.LIBRARY}.items())
+    column = {x: f"f{k}" for k, x in enumerate(dict.fromkeys(x for _, x in library))}
+    values = inputs.select("user_id", *(F.to_json(F.struct(F.expr(x).alias("value"))).alias(c) for x, c in column.items()))
+    return values.select("user_id", F.inline(F.array(*(F.struct(F.lit(n).alias("function"), F.col(column[x]).alias("result")) for n, x in library))))
 
 
 QUERIES = {"q_fn_library": array_library}

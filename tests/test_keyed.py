@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -198,3 +199,10 @@ def test_rounding_is_that_of_binary_values(spark):
     for digits in range(4):
         got = spark.createDataFrame([(values,)], "ds array<double>").selectExpr(f"{rounded_to('ds', str(digits))} as r").first().r
         assert got == [round(v, digits) for v in values]
+
+
+def test_what_depends_on_the_whole_array_alone_is_not_computed_for_each_element():
+    from emberline.functions import arrays
+
+    each = re.compile(r"(transform|filter|exists)\((xs|ys|ts|ps|ns|rows), \(?[a-z, ]+\)? -> (?:(?!transform\(array\().)*(array_sort\(xs\)|array_(max|min)\((xs|transform\(xs|flatten)|aggregate\((xs|ts|ps|ns|flatten)|flatten\(rows\))")
+    assert not [n for n, x in {**arrays.LIBRARY, **LIBRARY}.items() if each.search(x)]
