@@ -73,18 +73,21 @@ class TokenStore:
 def written(docs: DataFrame, ids: Column, order: str = "doc_id") -> TokenStore:
     """The store of docs in this order; ids is a binary of each document's ids, its end token included."""
     spark, path = docs.sparkSession, kept_folder(docs.sparkSession)
-    own = docs.select(F.col(order).alias("id"), F.xxhash64(*docs.columns).alias("tie"), ids.alias("ids")).withColumn("n", (F.length("ids") / WIDTH).cast("long"))
-    placed = numbered(own.withColumn("n", F.coalesce("n", F.lit(0))), Ranked("", "id, tie", "r", {"upto": "n"})).select("id", "ids", "n", (F.col("upto") - F.col("n")).alias("start"))
-    placed.select("id", "start", "n").write.parquet(f"{path}/index")
-    # a document's ids in each page that they touch
+    # the documents themselves are dealt and kept, and their ids are made when pages are cut: they may be much larger
+    n = F.coalesce((F.length(ids) / WIDTH).cast("long"), F.lit(0))
+    own = docs.withColumns({"_order": F.col(order), "_tie": F.xxhash64(*docs.columns), "_size": n})
+    placed = numbered(own, Ranked("", "_order, _tie", "_rank", {"_end": "_size"})).withColumn("_start", F.col("_end") - F.col("_size"))
+    placed.select(F.col("_order").alias("id"), F.col("_start").alias("start"), F.col("_size").alias("n")).write.parquet(f"{path}/index")
+    # a document's ids in each page that they touch; pages are dealt once, as their parts, by ranges that serve to put them together and to write them in order
     page = F.explode(F.sequence(F.floor(F.col("start") / PAGE), F.floor((F.col("start") + F.col("n") - 1) / PAGE)))
-    cut = placed.where("n > 0").withColumn("page", page)
+    cut = placed.where("_size > 0").select(F.col("_start").alias("start"), F.col("_size").alias("n"), ids.alias("ids")).withColumn("page", page)
     first = F.greatest(F.col("start"), F.col("page") * PAGE)
     size = F.least(F.col("start") + F.col("n"), (F.col("page") + 1) * PAGE) - first
-    cut = cut.select("page", F.struct(first.alias("at"), F.hex(F.substring("ids", ((first - F.col("start")) * WIDTH + 1).cast("int"), (size * WIDTH).cast("int"))).alias("part")).alias("p"))
-    pages = cut.groupBy("page").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")).alias("ids"))
+    cut = cut.select("page", first.alias("at"), F.substring("ids", ((first - F.col("start")) * WIDTH + 1).cast("int"), (size * WIDTH).cast("int")).alias("part"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pages.repartitionByRange(ranges, "page").sortWithinPartitions("page").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/pages")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])
+    pages = cut.repartitionByRange(ranges, "page").groupBy("page").agg(F.unhex(F.array_join(F.transform(parts, lambda p: F.hex(p)), "")).alias("ids"))
+    pages.sortWithinPartitions("page").write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/pages")
     return opened(spark, path)
 
 

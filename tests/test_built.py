@@ -38,6 +38,17 @@ def test_token_store_windows_are_those_of_the_concatenation(spark, monkeypatch,
         token_store.written(docs.limit(0), token_store.packed_bytes(F.col("text"))).drawn(1, 1, "s")
 
 
+def test_token_store_deals_and_keeps_documents_and_not_their_ids(spark, monkeypatch):
+    from emberline.plans import dialects
+
+    dealt, keep = [], dialects.kept_table
+    monkeypatch.setattr(dialects, "kept_table", lambda df: dealt.append(df) or keep(df))
+    docs = spark.createDataFrame([(k % 3, "ab" * k) for k in range(9)], "doc_id long, text string")
+    store = token_store.written(docs, token_store.packed_bytes(F.col("text")))
+    assert len(dealt) == 1 and "binary" not in dict(dealt[0].dtypes).values()
+    assert sorted((r.id, r.n) for r in store.index.collect()) == sorted((k % 3, 2 * k + 1) for k in range(9)) and store.total == 81
+
+
 def test_permutations_are_one_to_one_and_differ_by_key(spark):
     sizes = [*range(1, 40), 100, 997]
     rows = spark.createDataFrame([(n, p) for n in sizes for p in range(n)], "n long, p long")
